@@ -1 +1 @@
-
+"""Operators for language-model training data; nothing else in the library imports this subpackage."""
