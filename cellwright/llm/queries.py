@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import encode, fingerprints, leaks
+from cellwright.llm import encode, fingerprints, leaks, stuffing
 from cellwright.session import table
 
 
@@ -21,7 +21,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_documents(table(spark, d, "documents")).filter("is_spam").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_ids, p8_found, p9_found)}
 ORACLES = {
     "p6_found": r"""
         WITH k AS (SELECT dupe_id, regexp_replace(lower(name), '[^\p{L}\p{N}]+', '', 'g') AS a,
