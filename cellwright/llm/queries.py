@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellwright.llm import encode, fingerprints, leaks, stuffing
+from cellwright.llm import encode, fingerprints, leaks, personal, stuffing
 from cellwright.session import table
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_spans(personal.texts_of(table(spark, d, "ir_elements"), table(spark, d, "feedback_records")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("origin", "record_id", F.inline("found")).distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("origin", "record_id", "redacted")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = fingerprints.format_duplicates(table(spark, d, "dupes"), "dupe_id", [["name", "city"]], "name")
     return found.select("first_id", "dupe_id")
@@ -25,7 +38,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_documents(table(spark, d, "documents")).filter("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_found, p7_ids, p8_found, p9_found)}
 ORACLES = {
     "p6_found": r"""
         WITH k AS (SELECT dupe_id, regexp_replace(lower(name), '[^\p{L}\p{N}]+', '', 'g') AS a,
