@@ -59,7 +59,7 @@ ORG_WORDS = frozenset(
 )
 PLACE_WORDS = frozenset("bay heath cross orla lune st ford haven mouth port stad burg minster vale".split())
 TITLES = r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|sr|sra|mme|mlle|m)"
-IS_TITLE = regex.compile(TITLES + r"\.?", regex.I)
+IS_TITLE = regex.compile(r"(?=\p{L}{2})" + TITLES + r"\.?", regex.I)
 # Words beside which persons stand, and the words that follow them.
 NAME_BEFORE = regex.compile(
     r"(?:\b(?:dear|attn\.?:?|attention:?|cc|ring|ask(?: for)?|signed by|handed over to|contact (?:person|was):?|kontakt:|new one is|payee|applicant"

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import encode, fingerprints, leaks, personal, stuffing
+from cellwright.llm import encode, fingerprints, leaks, names, personal, stuffing
 from cellwright.session import table
 
 
+def _parties(spark: SparkSession, d: str) -> DataFrame:
+    dupes, invoices = table(spark, d, "dupes"), table(spark, d, "invoices")
+    return names.party_of([dupes.select("name"), invoices.select("vendor")], dupes.select("city"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(_parties(spark, d))
+
+
+def p2_parties(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its party."""
+    return _parties(spark, d)
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     return personal.personal_spans(personal.texts_of(table(spark, d, "ir_elements"), table(spark, d, "feedback_records")))
 
@@ -38,7 +52,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_documents(table(spark, d, "documents")).filter("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_parties, p4_found, p4_redacted, p6_found, p7_ids, p8_found, p9_found)}
 ORACLES = {
     "p6_found": r"""
         WITH k AS (SELECT dupe_id, regexp_replace(lower(name), '[^\p{L}\p{N}]+', '', 'g') AS a,
