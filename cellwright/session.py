@@ -80,3 +80,21 @@ def _forget(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers, whatever folder or path the driver was started with.
+
+    Workers on this machine get its folder in their path; those of a cluster also get the package itself, once.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    have = sc.environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+        if not sc.master.startswith("local"):
+            import shutil
+
+            folder = tempfile.mkdtemp(prefix="cellwright-package-")
+            atexit.register(_remove, folder)
+            sc.addPyFile(shutil.make_archive(os.path.join(folder, "cellwright"), "zip", root, "cellwright"))
