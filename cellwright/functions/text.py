@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip sees it (Java's ``\s`` is ASCII unless asked).
-WS = r"[\s\x1c-\x1f\x85   -     　]"
+WS = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def py_strip(c: Column) -> Column:
