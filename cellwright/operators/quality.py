@@ -27,23 +27,42 @@ DISTINCT_RATIO = 1.25
 DISTINCT_ERROR = 0.01
 
 
+ASCII = "^[\\x00-\\x7f]*$"
+
+
+def _bare(value: Column) -> Column:
+    """The value without white space at its ends; only the few values with odd white space there pay for a pattern."""
+    plain = F.trim(value)
+    return F.when(plain.rlike(r"^[!-~](?:.*[!-~])?$|^$"), plain).otherwise(py_strip(value))
+
+
 def mask(value: Column) -> Column:
     """The value's character-class mask: ``INV-1042`` is ``A-9``, ``Acme Corp`` is ``Aa Aa``; NULL is its own mask.
 
     White space at the ends is part of the dirt that every load has and is left out; blank values are one mask.
+    Plain values are generalised letter by letter in one pass, others by classes of all scripts.
     """
-    m = py_strip(value)
-    for pattern, by in ((r"\p{Lu}{2,}", "AA"), (r"(?<!A)\p{Lu}(?!A)", "A"), (r"[\p{Ll}\p{Lo}\p{Lt}\p{Lm}]+", "a"), (r"\p{N}+", "9"), (r"\s+", " ")):
-        m = F.regexp_replace(m, pattern, by)
+    bare = _bare(value)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    plain = F.translate(bare, upper + lower + digits + "\t\n\r", "A" * 26 + "a" * 26 + "9" * 10 + "   ")
+    other = bare
+    for pattern, by in ((r"\p{Lu}", "A"), (r"[\p{Ll}\p{Lo}\p{Lt}\p{Lm}]", "a"), (r"\p{N}", "9"), (r"\s", " ")):
+        other = F.regexp_replace(other, pattern, by)
+    m = F.when(bare.rlike(ASCII), plain).otherwise(other)
+    m = F.regexp_replace(m, r"([a9 ])\1+|(?<=AA)A+", "$1")
     # long values of many words differ in their number of words only
-    m = F.regexp_replace(m, r"((?:Aa|AA)) (?:\1 )+(?=\1)", "$1 .. ")
+    m = F.regexp_replace(m, r"(Aa |AA )\1+", "$1.. ")
     return F.coalesce(F.when(m == "", F.lit("(blank)")).otherwise(m), F.lit("(null)"))
 
 
+def _number(value: Column) -> Column:
+    text = F.trim(value)
+    return F.when(text.rlike(TOTAL_PATTERN), F.replace(text, F.lit(","), F.lit(""))).try_cast("double")
+
+
 def magnitude(value: Column) -> Column:
     """Sign and size of a number in thirds of a decade; zero and values that are no numbers have their own class."""
-    text = py_strip(value)
-    number = F.when(text.rlike(TOTAL_PATTERN), F.regexp_replace(text, ",", "")).try_cast("double")
+    number = _number(value)
     size = F.floor(F.log10(F.abs(number)) * 3).cast("string")
     return (
         F.when(number.isNull(), F.lit(None).cast("string"))
@@ -60,8 +79,8 @@ def load_profile(rows: DataFrame, load: str, columns: list[str], numeric: tuple[
     parts = []
     for c in columns:
         v = F.col(c)
-        text = py_strip(v)
-        number = F.when(text.rlike(TOTAL_PATTERN), F.regexp_replace(text, ",", "")).try_cast("double") if c in numeric else F.lit(None).cast("double")
+        text = F.trim(v)
+        number = _number(v) if c in numeric else F.lit(None).cast("double")
         parts.append(
             F.struct(
                 F.lit(c).alias("column_name"),
