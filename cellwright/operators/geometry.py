@@ -22,7 +22,7 @@ def word_tolerance(glyphs: DataFrame, by: list[str]) -> DataFrame:
     known = glyphs.filter("height > 0").groupBy(*by, F.round("height", 1).alias("h")).agg(F.count("*").alias("n"))
     common = known.groupBy(*by).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("h"))
     pages = glyphs.select(*by).distinct()
-    return pages.join(common, by, "left").select(*by, F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(3.0), F.col("h") * 0.18)), F.lit(1.5)).alias("tolerance"))
+    return pages.join(common, by, "left").select(*by, F.when(F.col("h").isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(3.0), F.col("h") * 0.18))).otherwise(1.5).alias("tolerance"))
 
 
 def lines_of(words: list[dict]) -> list[dict]:

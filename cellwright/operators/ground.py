@@ -33,7 +33,7 @@ def score_cells(rows: DataFrame, texts: DataFrame, columns: dict[str, Column], e
     """
     joined = rows.join(texts, "source_id", "left").withColumn("source_text", F.coalesce("source_text", F.lit("")))
     score = judge or (lambda v, s: F.coalesce(support_fast(v, s), F.lit(0.0)) if exact_only else support_score(v, s))
-    out = joined.withColumns({f"_score_{c}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), score(F.coalesce(v, F.lit("")), F.col("source_text")))) for c, v in columns.items()})
+    out = joined.withColumns({f"_score_{c}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score(F.coalesce(v, F.lit("")), F.col("source_text")), F.lit(0.0)))) for c, v in columns.items()})
     return out.drop("source_text")
 
 
