@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.llm.names import NICKNAMES
 from cellwright.session import staged
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -47,7 +48,7 @@ GIVEN = frozenset(
     stephen steve sue susan teresa theo theodore thomas tim tom tony trudy ursula vera vicky victor victoria viktor
     walter wei wendy will william yusuf yvonne zoë zoe
     """.split()
-)
+) | frozenset(NICKNAMES)
 # Legal forms, lines of business and endings of organisations and places.
 ORG_WORDS = frozenset(
     """
@@ -76,6 +77,7 @@ NAME_AFTER = regex.compile(
     r"|\s*[<(/]|\s*;|,\s+(?:accounts|the\s+(?:new|statement)|flat\b|qq\b|[a-z]{1,9}\s*\d|\d|[\p{L}' /.]+\d)|\)|\s*$|\.\s|\.$|,\s*$)",
     regex.I,
 )
+STRONG_AFTER = regex.compile(r"^\s+(?:approved|was called|says|of\s+[\p{L}\d/ .,'’-]{4,48}?\s+disputes)\b", regex.I)
 PLACE_BEFORE = regex.compile(r"\b(?:in|at|from|to|near|desk in|arrived in)\s+$", regex.I)
 NUMBER_CUE = regex.compile(r"(?:\b(?:phone|tel|telefon|call|called on|mobile|fax|ring|on|or)\b\.?:?|/|,|^)\s*$", regex.I)
 ID_CUE = regex.compile(r"\b(?:ssn|passport|licen[cs]e|licencia|tin|tax(?:payer)?|national|id|insurance|nino)\b[\s\w.:#']{0,8}$", regex.I)
@@ -210,13 +212,14 @@ def votes(kind: str, text: str, s: int, e: int, field: str) -> list[int]:
     common = any(w in COMMON and w not in GIVEN and len(w) > 1 for w in words)
     given = words[0] in GIVEN or ("," in span and words[1] in GIVEN) or (len(words) == 2 and words[1] in GIVEN)
     first_initial = regex.match(r"\p{Lu}\.\s", span) is not None
-    strong, follows = STRONG_BEFORE.search(before) is not None, NAME_AFTER.match(after) is not None
+    hard = STRONG_AFTER.match(text[e : e + 72]) is not None
+    strong, follows = STRONG_BEFORE.search(before) is not None or hard, NAME_AFTER.match(after) is not None or hard
     return [
         _vote(given, common or org),
         _vote(strong, PLACE_BEFORE.search(before) is not None and not strong),
         _vote(follows and not org, org),
         _vote(first_initial and not common, org or place),
-        _vote(NAME_BEFORE.search(before) is not None and follows and not common and not org, common or city),
+        _vote((strong or NAME_BEFORE.search(before) is not None and follows) and not common and not org and not place, common or city),
         _vote(field == "contact" and not common, place or common or field in ("vendor", "issued", "total", "invoice_number")),
     ]
 
