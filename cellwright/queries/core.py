@@ -321,7 +321,10 @@ def pii_redactor(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ir_elements").select("element_id", redact(F.col("text"), unicode=False).alias("text"))
 
 
-@query()
+@query(
+    f"""SELECT element_id, coalesce(len(regexp_extract_all(text, '{EMAIL}')), 0)::BIGINT AS email, coalesce(len(regexp_extract_all(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{SSN}')), 0)::BIGINT AS ssn,
+    coalesce(len(regexp_extract_all(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{SSN}', '[SSN]', 'g'), '{PHONE}')), 0)::BIGINT AS phone FROM ir_elements"""
+)
 def pii_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ir_elements").select("element_id", redaction_counts(F.col("text")).alias("c")).select("element_id", "c.*")
 

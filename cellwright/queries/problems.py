@@ -45,4 +45,55 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p3_found, p3_profile, p5_found, p5_table)}
-ORACLES: dict[str, str] = {}
+
+_NUMBER = "^INV-[0-9]{4,10}$"
+_TOTAL = r"^([+-]?[0-9]+(,[0-9]{3})*(\.[0-9]+)?|[+-]?\.[0-9]+)$"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _bad(number: str, total: str) -> str:
+    return (
+        f"(NOT coalesce(regexp_matches({_strip(number)}, '{_NUMBER}'), false)"
+        f" OR NOT coalesce({_strip(total)} = '' OR regexp_matches({_strip(total)}, '{_TOTAL}'), true))"
+    )
+
+
+def _field(delimiter: str) -> str:
+    return f'("([^"]|"")*"|[^"{delimiter}]*)'
+
+
+def _parsed(delimiter: str) -> str:
+    """A record's fields, quotes taken off; NULL where its quoting is broken.  Each field ends with a delimiter."""
+    ok = f"regexp_full_match(raw_line, '(?s){_field(delimiter)}({delimiter}{_field(delimiter)})*')"
+    all_ = f"regexp_extract_all(raw_line || '{delimiter}', '(?s)({_field(delimiter)}){delimiter}', 1)"
+    return f"""CASE WHEN {ok} THEN list_transform({all_}, lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) END"""
+
+
+_KIND = r"""CASE WHEN v = '' THEN NULL WHEN lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n') THEN 'bool' WHEN regexp_matches(v, '^([+-]?\d{1,3}(,\d{3})*|[+-]?\d+)$') THEN 'int'
+    WHEN regexp_matches(v, '^([+-]?\d+(,\d{3})*(\.\d+)?|[+-]?\d*\.\d+)$') THEN 'float' WHEN regexp_matches(v, '^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})$') THEN 'date' ELSE 'str' END"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""
+    WITH raw AS (SELECT *, CASE WHEN content_type = 'text/tab-separated-values' THEN {_parsed(chr(9))} ELSE {_parsed(',')} END AS f FROM invoices_raw),
+    head AS (SELECT source_id, len(f) AS width, list_position(f, 'invoice_number') AS a, list_position(f, 'total') AS b FROM raw WHERE line_no = 0),
+    rec AS (SELECT raw_id, CASE WHEN f IS NULL THEN 'quoting' WHEN len(f) <> width THEN 'column_count' WHEN {_bad('f[a]', 'f[b]')} THEN 'value' END AS reason
+            FROM raw JOIN head USING (source_id) WHERE line_no <> 0 AND trim(coalesce(raw_line, ''), E' \\r\\n') <> ''),
+    grid AS (SELECT table_id, cells[1] AS h, unnest(cells[2:]) AS r, generate_subscripts(cells[2:], 1)::INT AS i FROM ir_tables),
+    cell AS (SELECT table_id, i, unnest(generate_series(1, len(h))) AS j, unnest(r) AS c FROM grid WHERE len(r) = len(h)),
+    typed AS (SELECT table_id, i, j, {_KIND} AS kind FROM (SELECT *, {_strip("coalesce(c, '')")} AS v FROM cell)),
+    col AS (SELECT table_id, j, arg_max(kind, n * 10 + list_position(['bool', 'date', 'int', 'float', 'str'], kind)) AS kind
+            FROM (SELECT table_id, j, kind, count(*) AS n FROM typed WHERE kind IS NOT NULL GROUP BY ALL) GROUP BY table_id, j),
+    wrong AS (SELECT DISTINCT table_id, i FROM typed t JOIN col c USING (table_id, j) WHERE t.kind IS NOT NULL AND c.kind <> 'str' AND t.kind <> c.kind AND NOT (t.kind = 'int' AND c.kind = 'float'))
+    SELECT 'invoices' AS origin, row_id AS record_id, 0 AS row_index, 'value' AS reason FROM invoices WHERE {_bad('invoice_number', 'total')}
+    UNION ALL SELECT 'invoices_raw', raw_id, 0, reason FROM rec WHERE reason IS NOT NULL
+    UNION ALL SELECT 'ir_tables', table_id, i, 'column_count' FROM grid WHERE len(r) <> len(h)
+    UNION ALL SELECT 'ir_tables', table_id, i, 'value' FROM wrong""",
+    "p3_profile": " UNION ALL ".join(
+        f"""SELECT load_id, '{c}' AS column_name, count(*) AS n, count_if({c} IS NULL)::BIGINT AS nulls, count_if(trim({c}) = '')::BIGINT AS blanks, min(length({c}))::INT AS shortest, max(length({c}))::INT AS longest,
+        count({x}) AS numbers, min({x}) AS least, max({x}) AS most FROM invoices GROUP BY load_id"""
+        for c, x in (("total", f"CASE WHEN regexp_matches(trim(total), '{_TOTAL}') THEN replace(trim(total), ',', '')::DOUBLE END"), ("vendor", "NULL::DOUBLE"))
+    ),
+}
