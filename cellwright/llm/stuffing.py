@@ -67,24 +67,33 @@ def _kinds(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.
     link: list[bool] = []
     lines = [MARKUP.sub(" ", line) if "<" in line else line for line in text.splitlines()]
     for n, line in enumerate(lines):
-        rest, cut = [], 0
-        spans = [m.span() for m in LINK.finditer(line)]
-        for s, e in spans:
-            rest += [(m.start() + cut, m.group(), False) for m in WORD.finditer(line[cut:s])]
-            rest.append((s, line[s:e], True))
-            cut = e
-        rest += [(m.start() + cut, m.group(), False) for m in WORD.finditer(line[cut:])]
-        if not rest:
+        # a link has a slash or begins with www
+        spans = [m.span() for m in LINK.finditer(line)] if "/" in line or "www" in line.lower() else []
+        if spans:
+            own, at_link, cut = [], [], 0
+            for s, e in spans:
+                before = WORD.findall(line[cut:s])
+                own += [*before, line[s:e]]
+                at_link += [False] * len(before) + [True]
+                cut = e
+            after = WORD.findall(line[cut:])
+            own += after
+            at_link += [False] * len(after)
+        else:
+            own = WORD.findall(line)
+            at_link = [False] * len(own)
+        if not own:
             continue
-        digits = sum(w.isdigit() for _, w, is_link in rest if not is_link)
-        cells = line.strip()
-        table = cells.startswith("|") and cells.endswith("|") and cells.count("|") > 2
-        structure = not spans and (table or digits >= 0.25 * len(rest) and digits > 1 or bool(LOG.match(line)) or bool(CODE.search(line)))
-        for _, w, is_link in rest:
-            words.append(w.lower())
-            line_of.append(n)
-            fixed.append(structure)
-            link.append(is_link)
+        structure = False
+        if not spans:
+            digits = sum(map(str.isdigit, own))
+            cells = line.strip()
+            table = cells.startswith("|") and cells.endswith("|") and cells.count("|") > 2
+            structure = table or (digits >= 0.25 * len(own) and digits > 1) or bool(LOG.match(line)) or bool(CODE.search(line))
+        words += map(str.lower, own)
+        line_of += [n] * len(own)
+        fixed += [structure] * len(own)
+        link += at_link
     return lines, words, np.array(line_of, int), np.array(fixed, bool), np.array(link, bool)
 
 
@@ -110,16 +119,19 @@ def recurrence(words: list[str], usable: np.ndarray) -> np.ndarray:
     repeats, _ = _mean(near & content, WINDOW)
     contents, size = _mean(content, WINDOW)
     share = repeats / np.maximum(contents, 1)
-    best = np.zeros(n)
-    for lag in range(1, min(MOST_LAG // 2, n - 1) + 1):
-        hit = np.zeros(n, bool)
-        equal = (code[lag:] == code[:-lag]) & content[lag:]
-        hit[lag:] = equal
-        hit[:-lag] |= equal
-        at_lag, _ = _mean(hit, WINDOW)
-        best = np.maximum(best, at_lag / np.maximum(contents, 1))
     dense = contents >= 0.3 * size
-    centre = dense & ((share >= LEAST_RECURRING) | ((share >= LEAST_REGULAR) & (best >= LEAST_AT_LAG)))
+    centre = dense & (share >= LEAST_RECURRING)
+    open_ = dense & ~centre & (share >= LEAST_REGULAR)
+    if open_.any():  # only there does it matter how evenly words repeat
+        best = np.zeros(n)
+        for lag in range(1, min(MOST_LAG // 2, n - 1) + 1):
+            hit = np.zeros(n, bool)
+            equal = (code[lag:] == code[:-lag]) & content[lag:]
+            hit[lag:] = equal
+            hit[:-lag] |= equal
+            at_lag, _ = _mean(hit, WINDOW)
+            best = np.maximum(best, at_lag / np.maximum(contents, 1))
+        centre |= open_ & (best >= LEAST_AT_LAG)
     return centre & usable
 
 
