@@ -122,7 +122,7 @@ def divergences(classes: DataFrame) -> DataFrame:
     Returns ``load_id, column_name, feature, n, classes, divergence, rare_share``.
     """
     by = ["column_name", "feature"]
-    common = F.broadcast(dominant_classes(classes).drop("share"))  # at most 1 / DOMINANT_SHARE rows a feature
+    common = F.broadcast(staged(dominant_classes(classes).drop("share")))  # at most 1 / DOMINANT_SHARE rows a feature
     known = classes.join(common.withColumn("common", F.lit(True)), [*by, "class"], "left")
     folded = known.groupBy("load_id", *by, F.when(F.col("common"), F.col("class")).alias("class")).agg(F.sum("n").alias("n"))
     totals = classes.groupBy("load_id", *by).agg(F.sum("n").alias("all"))
@@ -164,7 +164,8 @@ def departing_loads(rows: DataFrame, load: str, columns: list[str], numeric: tup
     """
     classes = staged(value_classes(rows, load, columns, numeric))
     by = ["column_name", "feature"]
-    far = _robust(divergences(classes), by, "divergence")
+    # written once: the medians read it twice more, and the driver need not plan all of it three times
+    far = _robust(staged(divergences(classes)), by, "divergence")
     noise = (F.col("classes") + 1) / (2 * F.log(F.lit(2.0)) * F.col("n"))
     limit = F.greatest(F.lit(LEAST_DIVERGENCE), F.col("mid") + SPREAD * 1.4826 * F.col("mad")) + noise
     odd = far.filter(F.col("divergence") > limit).select(
@@ -173,13 +174,14 @@ def departing_loads(rows: DataFrame, load: str, columns: list[str], numeric: tup
     # distinct values against what a load of this size has: log(distinct) is nearly linear in log(n) between loads
     profile = staged(load_profile(rows, load, columns, numeric)).filter("n > nulls + blanks")
     counts = profile.select("load_id", "column_name", F.log(F.col("n") - F.col("nulls") - F.col("blanks")).alias("x"), F.log(F.col("distinct").cast("double")).alias("y"))
+    counts = staged(counts)
     ratio = _robust(counts.withColumn("d", F.col("y") - F.col("x")), ["column_name"], "d").drop("mad")
     # slope of distinct on size, from loads near the median ratio only
     near = ratio.filter(F.abs(F.col("d") - F.col("mid")) < 0.3).groupBy("column_name").agg(
         F.coalesce(F.try_divide(F.covar_pop("x", "d"), F.var_pop("x")), F.lit(0.0)).alias("slope"), F.avg("x").alias("mx")
     )
     flat = ratio.drop("mid").join(F.broadcast(near), "column_name").withColumn("e", F.col("d") - F.col("slope") * (F.col("x") - F.col("mx")))
-    flat = _robust(flat, ["column_name"], "e")
+    flat = _robust(staged(flat), ["column_name"], "e")
     gap = F.abs(F.col("e") - F.col("mid"))
     few = flat.filter((gap > F.log(F.lit(DISTINCT_RATIO))) & (gap > SPREAD * 1.4826 * F.col("mad"))).select(
         "load_id", "column_name", F.lit("distinct values").alias("reason"), gap.alias("score")
