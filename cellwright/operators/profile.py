@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.functions.coerce import coerce_float
@@ -63,6 +63,40 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     )
 
 
+def exact_median(df: DataFrame, value: Column, most: int = 100_000) -> float | None:
+    """The exact median of a numeric expression, for any number of rows; None without values.
+
+    Spark's own exact median keeps all distinct values in one task.  Here approximate percentiles bracket the middle,
+    rows below the bracket are counted, and the bracket is narrowed, a scan each time, until it has at most ``most``
+    distinct values, whose counts are then read.
+    """
+    values = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    n = values.count()
+    if n == 0:
+        return None
+    first, last = (n - 1) // 2, n // 2
+    low, high, below, inside, slack = float("-inf"), float("inf"), 0, n, 4e-4
+    while True:
+        part = values.filter((F.col("v") >= low) & (F.col("v") <= high))
+        counts = part.groupBy("v").agg(F.count("*").alias("n"))
+        if inside <= most or counts.limit(most + 1).count() <= most:
+            break
+        ends = [max(0.0, (first - below) / inside - slack), min(1.0, (last - below) / inside + slack)]
+        a, b = part.agg(F.percentile_approx("v", ends, 10_000)).first()[0]
+        row = part.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+        if below + row[0] <= first and last < below + row[0] + row[1] and row[1] < inside:
+            low, high, below, inside = a, b, below + row[0], row[1]
+        else:  # the approximation missed; look further around the middle
+            slack *= 4
+            if slack > 1:
+                break
+    at, found = below, []
+    for v, k in counts.orderBy("v").collect():
+        found += [v] * sum(at <= rank < at + k for rank in (first, last))
+        at += k
+    return sum(found) / 2
+
+
 def corpus_summary(outcomes: DataFrame, rows: DataFrame, flag: str = "_ground_flag") -> DataFrame:
     """``sources, failed_sources, rows_emitted, rows_flagged`` in one row."""
     a = outcomes.agg(F.count("*").alias("sources"), F.count_if(F.col("error").isNotNull()).alias("failed_sources"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
@@ -11,6 +9,7 @@ from pyspark.sql.types import NumericType, StringType
 from cellwright.functions.redact import redact
 from cellwright.functions.text import collapse_ws, py_strip
 from cellwright.operators.lineage import LINEAGE, data_columns, flag_rows
+from cellwright.operators.profile import exact_median
 
 #: Scale of the median absolute deviation, the modified z-score's limit, and the tolerance where the deviation is 0.
 MAD_SCALE, MAD_LIMIT, MAD_TOLERANCE = 0.6745, 3.5, 1e-9
@@ -63,23 +62,20 @@ def strip_lineage(df: DataFrame) -> DataFrame:
 def anomalies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``df`` with ``_anomaly``: a numeric cell is far from its column's median by the median absolute deviation.
 
-    Exact medians: two small aggregates of one row each, broadcast back; NULL cells are no outliers.
+    The medians are exact and computed first, in a few scans; flagging is then a plain expression.  NULL cells are no
+    outliers, and a column without values has none.
     """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name in (columns or data_columns(df))]
-    if not numeric:
-        return df.withColumn("_anomaly", F.lit(False))
-    num = lambda c: F.col(f"`{c}`").cast("double")
-    # one row each; its size is fixed by the number of columns
-    mids = df.agg(*[F.median(num(c)).alias(f"__m{i}") for i, c in enumerate(numeric)])
-    with_mid = df.join(F.broadcast(mids))
-    mads = with_mid.agg(*[F.median(F.abs(num(c) - F.col(f"__m{i}"))).alias(f"__d{i}") for i, c in enumerate(numeric)])
-    both = with_mid.join(F.broadcast(mads))
-    far = []
-    for i, c in enumerate(numeric):
-        gap, mad = F.abs(num(c) - F.col(f"__m{i}")), F.col(f"__d{i}")
-        far.append(F.coalesce(F.when(mad > 0, MAD_SCALE * gap / mad > MAD_LIMIT).otherwise(gap > MAD_TOLERANCE), F.lit(False)))
-    drop = [f"__{x}{i}" for i in range(len(numeric)) for x in "md"]
-    return both.withColumn("_anomaly", reduce(lambda a, b: a | b, far)).drop(*drop)
+    far = F.lit(False)
+    for c in numeric:
+        value = F.col(f"`{c}`").cast("double")
+        middle = exact_median(df, value)
+        if middle is None:
+            continue
+        gap = F.abs(value - middle)
+        mad = exact_median(df, gap)
+        far = far | F.coalesce(MAD_SCALE * gap / mad > MAD_LIMIT if mad else gap > MAD_TOLERANCE, F.lit(False))
+    return df.withColumn("_anomaly", far)
 
 
 def anomaly_flagger(df: DataFrame) -> DataFrame:

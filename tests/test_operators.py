@@ -155,6 +155,17 @@ def test_transforms(spark):
     assert transforms.any_to_csv(spark.createDataFrame([('a"b', "c,d")], "a string, b string")).first()[0] == '"a""b","c,d"'
 
 
+def test_exact_median(spark):
+    import statistics
+
+    random.seed(8)
+    for values in ([random.gauss(0, 1) for _ in range(3001)], [random.choice([1.0, 2.0, 3.0]) for _ in range(2000)], [1.0, 2.0], [5.0], [random.random() if i % 3 else 0.5 for i in range(3000)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+        for most in (10, 100_000):
+            assert profile.exact_median(df, F.col("v"), most) == pytest.approx(statistics.median(values))
+    assert profile.exact_median(df.filter("false"), F.col("v")) is None
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 5, 10)], "v double")
     assert [r["count"] for r in profile.histogram(df, "v").orderBy("bin").collect()] == [2, 1, 0, 0, 1, 0, 0, 0, 0, 1]
