@@ -114,6 +114,21 @@ PHONE_STRICT = regex.compile(
 ID_STRICT = regex.compile(r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{6}-\d{5}|\d{2} \d{3} \d{3} \d{3}|QQ ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]\d{8}|[A-Z]{3,5}\d{6}[A-Z]\d{1,2}")
 
 
+PLAIN_EMAIL = regex.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
+EMAIL_CUE = regex.compile(r"(?:mail|reply to|scans go to|e-?mail|contact)[: ]*$|[<(;]\s*$", regex.I)
+DATE_LIKE = regex.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}.*")
+ADDRESS_LEAD = regex.compile(r"(?:to|at|of|in|chez|en|find|flat \d+,?|,|\bdepot at|:)\s*$", regex.I)
+ADDRESS_TAIL = regex.compile(r"\s*(?:,|\.|;|closes|disputes|$|\n)")
+UNIT = regex.compile(r"\b(?:rows|pallets|days|pages|cells|boxes|kg|cm|eur|sheets)\b", regex.I)
+MORE_NAME = regex.compile(r"\s+\p{Lu}|\s+(?:and|\+|&)\s")
+PLACE_TAIL = regex.compile(r"(?:['’]s|\bSt\.?)$")
+PLACE_AFTER = regex.compile(r"\s+Orla\b|\s*-on-")
+INITIAL_FIRST = regex.compile(r"\p{Lu}\.\s")
+ADDRESS_STRICT = regex.compile(rf"^{NUM}\s+{W_}\s+{STREET_EN}$|^{NUM},?\s+{STREET_FR}\s|^{STREET_ES}|{STREET_DE}\s+\d", regex.I)
+LEFT_WORDS = regex.compile(r"[\p{L}/@]+|[^\s\p{L}\d]")
+RIGHT_WORDS = regex.compile(r"[\p{L}/@]+|\d+|[^\s\p{L}\d]")
+
+
 def _name_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Two words, two with an initial, an initial with a word, or family name, comma, given name: the likely shapes."""
     words = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
@@ -167,20 +182,20 @@ def _vote(yes: bool, no: bool = False) -> int:
 
 
 def _parts(span: str) -> list[str]:
-    return [p.strip(".,'’").lower() for p in regex.split(r"[\s,]+", span) if p.strip(".,")]
+    return [p.strip(".,'’").lower() for p in span.replace(",", " ").split() if p.strip(".,")]
 
 
 def votes(kind: str, text: str, s: int, e: int, field: str) -> list[int]:
     """The labelers' votes on one candidate; ``field`` is the column that the text was taken from, or empty."""
     span, before, after = text[s:e], text[max(0, s - 48) : s], text[e : e + 40]
     if kind == "email":
-        strict = regex.fullmatch(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", span) is not None
-        cue = regex.search(r"(?:mail|reply to|scans go to|e-?mail|contact)[: ]*$|[<(;]\s*$", before, regex.I) is not None
+        strict = PLAIN_EMAIL.fullmatch(span) is not None
+        cue = EMAIL_CUE.search(before) is not None
         return [_vote(strict), _vote(cue), _vote("(" in span or "[" in span or strict or " @ " in span, " at " in span), _vote(len(span) > 8, len(span) < 6)]
     digits = sum(c.isdigit() for c in span)
     if kind == "phone":
         other = OTHER_NUMBER.search(before) is not None
-        date = regex.fullmatch(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}.*", span) is not None
+        date = DATE_LIKE.fullmatch(span) is not None
         identity = ID_STRICT.fullmatch(span) is not None
         return [
             _vote(PHONE_STRICT.fullmatch(span) is not None, ID_STRICT.fullmatch(span) is not None),
@@ -199,19 +214,19 @@ def votes(kind: str, text: str, s: int, e: int, field: str) -> list[int]:
             _vote(8 <= digits + sum(c.isalpha() for c in span) <= 14, other),
         ]
     if kind == "address":
-        lead = regex.search(r"(?:to|at|of|in|chez|en|find|flat \d+,?|,|\bdepot at|:)\s*$", before, regex.I) is not None
-        tail = regex.match(r"\s*(?:,|\.|;|closes|disputes|$|\n)", after) is not None
+        lead = ADDRESS_LEAD.search(before) is not None
+        tail = ADDRESS_TAIL.match(after) is not None
         number = any(c.isdigit() for c in span)
-        strict = regex.search(rf"^{NUM}\s+{W_}\s+{STREET_EN}$|^{NUM},?\s+{STREET_FR}\s|^{STREET_ES}|{STREET_DE}\s+\d", span, regex.I) is not None
-        unit = regex.search(r"\b(?:rows|pallets|days|pages|cells|boxes|kg|cm|eur|sheets)\b", span, regex.I) is not None
+        strict = ADDRESS_STRICT.search(span) is not None
+        unit = UNIT.search(span) is not None
         return [_vote(strict, unit), _vote(lead or field == "address" or s == 0, unit), _vote(tail, unit), _vote(number and not unit, unit)]
     words = _parts(span)
-    org = any(w in ORG_WORDS for w in words) or (any(w in ORG_WORDS for w in _parts(after[:20])[:2]) and regex.match(r"\s+\p{Lu}|\s+(?:and|\+|&)\s", after) is not None)
-    place = words[-1] in PLACE_WORDS or regex.search(r"(?:['’]s|\bSt\.?)$", span) is not None or regex.match(r"\s+Orla\b|\s*-on-", after) is not None
+    org = any(w in ORG_WORDS for w in words) or (any(w in ORG_WORDS for w in _parts(after[:20])[:2]) and MORE_NAME.match(after) is not None)
+    place = words[-1] in PLACE_WORDS or PLACE_TAIL.search(span) is not None or PLACE_AFTER.match(after) is not None
     city = PLACE_BEFORE.search(before) is not None and not STRONG_BEFORE.search(before)
     common = any(w in COMMON and w not in GIVEN and len(w) > 1 for w in words)
     given = words[0] in GIVEN or ("," in span and words[1] in GIVEN) or (len(words) == 2 and words[1] in GIVEN)
-    first_initial = regex.match(r"\p{Lu}\.\s", span) is not None
+    first_initial = INITIAL_FIRST.match(span) is not None
     hard = STRONG_AFTER.match(text[e : e + 72]) is not None
     strong, follows = STRONG_BEFORE.search(before) is not None or hard, NAME_AFTER.match(after) is not None or hard
     return [
@@ -258,19 +273,21 @@ def candidates(text: str | None, field: str = "") -> list[tuple[str, int, int, l
             out.append((kind, s, e))
             if kind in ("email", "address"):
                 taken.append((s, e))
-    out += [("name", s, e) for s, e in _name_spans(text, taken)]
+    # words of notes alone are never a name
+    out += [("name", s, e) for s, e in _name_spans(text, taken) if any(w not in COMMON or w in GIVEN for w in _parts(text[s:e]) if len(w) > 1)]
     return [(k, s, e, votes(k, text, s, e, field), features(k, text, s, e, field)) for k, s, e in out]
 
 
 def _shape(span: str) -> str:
-    return regex.sub(r"(.)\1+", r"\1", regex.sub(r"\p{Lu}", "A", regex.sub(r"\p{Ll}", "a", regex.sub(r"\d", "9", span))))
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in span]
+    return "".join(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)
 
 
 def features(kind: str, text: str, s: int, e: int, field: str) -> list[int]:
     """Hashed features of a span: its shape, its words' ends and the words around it, each with its kind."""
     span = text[s:e]
-    left = [w.lower() for w in regex.findall(r"[\p{L}/@]+|[^\s\p{L}\d]", text[max(0, s - 32) : s])[-3:]]
-    right = [w.lower() for w in regex.findall(r"[\p{L}/@]+|\d+|[^\s\p{L}\d]", text[e : e + 24])[:2]]
+    left = [w.lower() for w in LEFT_WORDS.findall(text[max(0, s - 32) : s])[-3:]]
+    right = [w.lower() for w in RIGHT_WORDS.findall(text[e : e + 24])[:2]]
     right = ["9" if w.isdigit() else w for w in right]
     words = _parts(span)
     raw = ["bias", "shape:" + _shape(span)[:24], "field:" + field, "l1:" + (left[-1] if left else "^"), "l2:" + " ".join(left[-2:]), "r1:" + (right[0] if right else "$"), "r2:" + " ".join(right)]
