@@ -103,7 +103,8 @@ def brute(docs, items, least):
     split = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
     out = set()
     for d, text in docs:
-        grams = {tuple(split(text)[i : i + least]) for i in range(len(split(text)) - least + 1)}
+        words = split(text)
+        grams = {tuple(words[i : i + least]) for i in range(len(words) - least + 1)}
         for i, item in items:
             w = split(item)
             if any(tuple(w[k : k + least]) in grams for k in range(len(w) - least + 1)):
