@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
+    if len(a) <= 64:
+        return _best_window(a, b)
     letters = set(a)
     best, n = 0.0, len(a)
     for end in range(1, len(b) + n):
@@ -50,9 +53,29 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def _best_window(a: str, b: str) -> float:
+    """:func:`partial_ratio` of at most 64 letters: the bits of :func:`lcs_length` for all windows of ``b`` at once."""
+    n, codes = len(a), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # letters beyond the ends are in no string
+    places = np.zeros(len(b) + 2 * (n - 1), np.uint64)
+    inner = places[n - 1 : n - 1 + len(b)]
+    for c in set(a):
+        inner[codes == ord(c)] = sum(1 << i for i, x in enumerate(a) if x == c)
+    windows = len(b) + n - 1
+    full = np.uint64((1 << n) - 1)
+    free = np.full(windows, full)
+    for j in range(n):
+        hit = free & places[j : j + windows]
+        free = (free + hit) | (free - hit)
+    common = n - np.bitwise_count(free & full).astype(np.int64)
+    end = np.arange(1, windows + 1)
+    length = np.minimum(end, len(b)) - np.maximum(0, end - n)
+    return float((200.0 * common / (n + length)).max())
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """Ratio of the sorted sets of words, the words common to both counted once; 100 if one set holds the other."""
-    x, y = set(a.split()), set(b.split())
+    x, y = _words(a), _words(b)
     if not x or not y:
         return 0.0
     both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
@@ -61,13 +84,19 @@ def token_set_ratio(a: str, b: str) -> float:
     common, l_text, r_text = " ".join(both), " ".join(left), " ".join(right)
     one = f"{common} {l_text}".strip()
     two = f"{common} {r_text}".strip()
-    scores = [ratio(one, two)]
-    if both:
-        scores += [ratio(common, one), ratio(common, two)]
+    scores = [ratio(common, one), ratio(common, two)] if both else [0.0]
+    # a short text against a whole document cannot reach more than this
+    if 200.0 * min(len(one), len(two)) / (len(one) + len(two)) > max(scores):
+        scores.append(ratio(one, two))
     return max(scores)
 
 
-@lru_cache(50_000)
+@lru_cache(64)
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+@lru_cache(256)  # whole source texts are kept with it
 def support(value: str, source: str) -> float:
     """How well a source supports a value, 0..1: the better of the partial and the word-set ratio."""
     if not value:

@@ -403,6 +403,22 @@ def ground_reject(spark: SparkSession, d: str) -> DataFrame:
     return ground.flag_ungrounded(scored, ["original_value"], reject=True).select("feedback_id")
 
 
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """The claims scored in full against their whole source texts; no SQL says what that gives."""
+    return ground.score_cells(_claims(spark, d), ground.source_text(_elements(spark, d)), {"original_value": F.col("original_value")})
+
+
+@query()
+def ground_flag_aligned(spark: SparkSession, d: str) -> DataFrame:
+    flagged = ground.flag_ungrounded(_aligned(spark, d), ["original_value"])
+    return flagged.select("feedback_id", F.col("_score_original_value").alias("score"), F.col("_ground_flag").alias("flagged"))
+
+
+@query()
+def ground_reject_aligned(spark: SparkSession, d: str) -> DataFrame:
+    return ground.flag_ungrounded(_aligned(spark, d), ["original_value"], reject=True).select("feedback_id")
+
+
 @query()
 def ground_score(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's name, one letter changed, against a line of text that holds the right one: aligned in Arrow batches."""
@@ -504,6 +520,12 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return profile.corpus_summary(outcomes, ground.flag_ungrounded(scored, ["original_value"]))
 
 
+@query()
+def corpus_summary_aligned(spark: SparkSession, d: str) -> DataFrame:
+    outcomes = _elements(spark, d).select("source_id").distinct().withColumn("error", F.lit(None).cast("string"))
+    return profile.corpus_summary(outcomes, ground.flag_ungrounded(_aligned(spark, d), ["original_value"]))
+
+
 @query("SELECT count(*) * 4 AS grounded_cells, count(*) * 4 AS cells FROM customer")
 def provenance_coverage(spark: SparkSession, d: str) -> DataFrame:
     return lineage.provenance_coverage(_customers(spark, d))

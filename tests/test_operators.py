@@ -93,6 +93,41 @@ def test_ground(spark):
     assert ground.flag_ungrounded(scored, ["v"], reject=True).count() == 1
 
 
+def test_aligned_claims(spark, tmp_path):
+    from cellwright.queries.core import QUERIES
+
+    random.seed(2)
+    texts = {f"s{k}": [" ".join("".join(random.choices("abcde", k=4)) for _ in range(12)) for _ in range(3)] for k in range(3)}
+    lines = [(s, i, "paragraph", t) for s, all_ in texts.items() for i, t in enumerate(all_)]
+    at = "array<struct<source_id:string,index:int,note:string>>"
+    spark.createDataFrame([(s, i, k, t, None) for s, i, k, t in lines], "source_id string, elem_idx int, kind string, text string, location string").write.parquet(f"{tmp_path}/ir_elements.parquet")
+    whole = {s: "\n".join(t) for s, t in texts.items()}
+    values = [(s, whole[s][k : k + 6] + x + whole[s][k + 7 : k + 15]) for s in whole for k in (3, 40) for x in "bX"] + [("s0", "zzzz qqqq"), ("s1", None), ("none", "abcd"), ("s2", "X" * 70)]
+    claims = [(i, v, [(s, 0, None)]) for i, (s, v) in enumerate(values)] + [(99, "abcd", None)]
+    spark.createDataFrame(claims, f"feedback_id bigint, original_value string, locations {at}").write.parquet(f"{tmp_path}/feedback_records.parquet")
+
+    def best(v, s):
+        if not v or not s:
+            return float(v == s)
+        n = len(v)
+        windows = [s[max(0, e - n) : e] for e in range(1, len(s) + n)]
+        part = max(200 * lcs(v, w) / (n + len(w)) for w in windows)
+        x, y = set(v.split()), set(s.split())
+        both, one, two = (" ".join(sorted(z)) for z in (x & y, x - y, y - x))
+        one, two = f"{both} {one}".strip(), f"{both} {two}".strip()
+        sets = [(one, two)] + ([(both, one), (both, two)] if both else [])
+        return max(part, *(200 * lcs(p, q) / (len(p) + len(q)) for p, q in sets)) / 100
+
+    want = {i: best(v or "", whole.get(at[0][0], "") if at else "") for i, v, at in claims}
+    got = {r.feedback_id: r for r in QUERIES["ground_flag_aligned"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i].score - x) < 1e-9 and got[i].flagged == (x < 0.7) for i, x in want.items())
+    kept = {i for i, x in want.items() if x >= 0.7}
+    assert any(want[i] < 1 for i in kept)
+    assert {r.feedback_id for r in QUERIES["ground_reject_aligned"](spark, str(tmp_path)).collect()} == kept
+    assert QUERIES["corpus_summary_aligned"](spark, str(tmp_path)).first().rows_flagged == len(want) - len(kept)
+
+
 def test_dedup(spark):
     df = spark.createDataFrame([(1, "a", None, "x"), (2, "a", None, "y"), (3, None, None, "z"), (4, None, None, "w")], "_ord int, k string, j string, v string")
     assert {r._ord for r in dedup.deduplicate(df, ["k", "j", "none"]).collect()} == {1, 3}
