@@ -74,6 +74,9 @@ SHORT_FORMS = {s: w for w, all_ in FILLERS.items() for s in [w, *all_.split()]}
 NOISE = frozenset(("the", "and", "of"))
 #: What is typed where a name is missing, as keys; codes of vendors; words that end names of places.
 PLACEHOLDERS = frozenset("na nan none null unknown tbc tbd pending missing test x xx xxx same asabove notgiven".split())
+#: A one-word spelling is a city if it stands in the cities' column more than so many times as often as among the names.
+CITY_TIMES = 2
+SEVERAL_WORDS = r"[^\p{L}\p{M}\p{N}'’]+[\p{L}\p{N}]"
 VENDOR_CODE = r"^v\d+$"
 PLACE_WORDS = frozenset("bay heath cross orla lune".split())
 
@@ -370,19 +373,32 @@ def spellings(columns: list[DataFrame]) -> DataFrame:
     return keyed.groupBy("key").agg(F.max_by("text", best).alias("text"), F.sum("n").alias("n"))
 
 
+def known_party(text: str) -> bool:
+    """Whether a text names a firm, or a person by a given name that is known."""
+    found = parse(text)
+    return found is not None and (found[0] == "org" or known_given(found[2]))
+
+
 def parties(found: DataFrame) -> DataFrame:
-    """``key, kind, main, facet, n`` of spellings that name a party."""
+    """``key, kind, main, facet, n`` of spellings that name a party.
+
+    With a column ``city_texts``, a spelling where it is not NULL is a city, unless one of these texts names a party.
+    """
+    judged = found if "city_texts" in found.columns else found.withColumn("city_texts", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [parse(t) or (None, None, None) for t in b["text"].to_pylist()]
+            read = [
+                (parse(t) if c is None or any(map(known_party, c)) else None) or (None, None, None)
+                for t, c in zip(b["text"].to_pylist(), b["city_texts"].to_pylist(), strict=True)
+            ]
             kind, main, facet = zip(*read, strict=True) if read else ((), (), ())
             yield pa.record_batch(
                 [b["key"], pa.array(kind, pa.string()), pa.array(main, pa.string()), pa.array(facet, pa.string()), b["n"]],
                 names=["key", "kind", "main", "facet", "n"],
             )
 
-    return found.mapInArrow(run, "key string, kind string, main string, facet string, n bigint").filter("kind is not null")
+    return judged.mapInArrow(run, "key string, kind string, main string, facet string, n bigint").filter("kind is not null")
 
 
 def links(mains: DataFrame) -> DataFrame:
@@ -449,12 +465,13 @@ def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
 def party_of(names: list[DataFrame], cities: DataFrame | None = None) -> DataFrame:
     """``key, party`` of every spelling in one-column frames of names: equal parties are the same party.
 
-    A single word that also stands in the column of ``cities`` is a city in the wrong field.
+    A single word that stands clearly more often in the column of ``cities`` is a city in the wrong field, unless it is
+    a party's name without its spaces: then the exchanged copies there have several words that name a party.
     """
     found = spellings(names)
     if cities is not None:
-        one_word = ~F.trim(F.col("text")).rlike(r"[^\p{L}\p{M}\p{N}'’]+[\p{L}\p{N}]")
-        found = found.join(city_keys(cities), "key", "left").filter(~one_word | F.col("cities").isNull()).drop("cities")
+        one_word = ~F.trim(F.col("text")).rlike(SEVERAL_WORDS)
+        found = found.join(city_keys(cities), "key", "left").withColumn("city_texts", F.when(one_word & (F.col("cities") > CITY_TIMES * F.col("n")), F.col("texts")))
     read = staged(parties(found))
     mains = staged(read.groupBy("kind", "main").agg(F.sum("n").alias("n")))
     node = lambda c: F.concat("kind", F.lit(":"), F.col(c))
@@ -496,6 +513,7 @@ def variant_pairs(members: DataFrame) -> DataFrame:
 
 
 def city_keys(cities: DataFrame) -> DataFrame:
-    """``key, cities``: how often each key stands in a column of cities."""
+    """``key, cities, texts``: how often each key stands in a column of cities, and its texts of several words there."""
     c = F.col(cities.columns[0])
-    return cities.filter(c.isNotNull()).groupBy(normal_key(c).alias("key")).agg(F.count("*").alias("cities"))
+    several = F.when(F.trim(c).rlike(SEVERAL_WORDS), c)
+    return cities.filter(c.isNotNull()).groupBy(normal_key(c).alias("key")).agg(F.count("*").alias("cities"), F.collect_set(several).alias("texts"))

@@ -226,6 +226,17 @@ def test_parties(spark):
     assert names.party_of([df.filter("false")], cities).count() == 0
 
 
+def test_people_exchanged_with_cities(spark):
+    names_ = ["HananKrimlirkrerthu", "HANNA KRIMLIRKRERTHU", "Patonhaven", "SamuelVurnumminstam", "Sam Vurnumminstam"]
+    df = spark.createDataFrame([(n,) for n in names_], "name string")
+    # one exchanged copy each time, a city that only looks like a name, and copies that are typed with spaces
+    cities = spark.createDataFrame([(" Hanan Krimlirkrerthu",)] + [("Patonhaven",)] * 9 + [("Samuel Vurnumminstam",)] * 3, "city string")
+    members = names.party_of([df], cities)
+    pairs = {(r.key_a, r.key_b) for r in names.variant_pairs(members).collect()}
+    assert pairs == {("hanankrimlirkrerthu", "hannakrimlirkrerthu"), ("samuelvurnumminstam", "samvurnumminstam")}
+    assert "patonhaven" not in {r.key for r in members.collect()}
+
+
 def test_big_blocks_and_parties(spark, monkeypatch):
     random.seed(6)
     words = ["".join(random.choice("bdgklmnprst") + random.choice("aeiou") for _ in range(6)) for _ in range(60)]
