@@ -276,10 +276,46 @@ def promote(types: Column) -> Column:
     )
 
 
-def union_schema(schemas: DataFrame) -> DataFrame:
-    """Each feed's consistent schema over all its files: ``feed, name, type, first_seq, files``."""
-    cols = schemas.select("feed", "seq_no", F.posexplode("columns").alias("pos", "c"))
-    folded = cols.groupBy("feed", "c.name").agg(
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for feed, moved, sets in zip(b["feed"].to_pylist(), b["moved"].to_pylist(), b["sets"].to_pylist(), strict=True):
+            schemas = [set(s) for s in sets]
+            columns: dict[str, set[str]] = {}
+            latest: dict[str, str] = {}
+            for m in sorted(moved, key=lambda m: (m["seq_no"], m["old_name"])):
+                old, new = (columns.get(m[k], {m[k]}) for k in ("old_name", "new_name"))
+                both = old | new
+                # names of one schema stay two columns, whatever links them by way of other files
+                if any(len(s & both) > 1 for s in schemas):
+                    continue
+                for name in both:
+                    columns[name], latest[name] = both, m["new_name"]
+            out += [(feed, name, column) for name, column in latest.items() if name != column]
+        yield pa.record_batch([pa.array(x, pa.string()) for x in (zip(*out, strict=True) if out else ((), (), ()))], names=["feed", "name", "column"])
+
+
+def column_names(schemas: DataFrame) -> DataFrame:
+    """``feed, name, column``: names under which a column stood before it was renamed, with its latest name.
+
+    The renames of :func:`schema_changes` are chained per feed.  A feed's renames and different sets of names are one
+    row, whose size its number of files does not change.
+    """
+    schemas = staged(schemas)
+    moved = schema_changes(schemas).filter("change = 'renamed'").groupBy("feed").agg(F.collect_list(F.struct("seq_no", "old_name", "new_name")).alias("moved"))
+    sets = schemas.groupBy("feed").agg(F.collect_set(F.array_sort(_names("columns"))).alias("sets"))
+    return moved.join(sets, "feed").select("feed", "moved", "sets").mapInArrow(_chain, "feed string, name string, column string")
+
+
+def union_schema(schemas: DataFrame, renamed: DataFrame | None = None) -> DataFrame:
+    """Each feed's consistent schema over all its files: ``feed, name, type, first_seq, files``.
+
+    A renamed column is one, under its latest name; ``renamed`` is what :func:`column_names` gives, if it is at hand.
+    """
+    renamed = column_names(schemas) if renamed is None else renamed
+    cols = schemas.select("feed", "seq_no", F.posexplode("columns").alias("pos", "c")).withColumn("name", F.col("c.name"))
+    cols = cols.join(renamed, ["feed", "name"], "left").withColumn("name", F.coalesce("column", "name"))
+    folded = cols.groupBy("feed", "name").agg(
         F.collect_set("c.type").alias("types"), F.min(F.struct("seq_no", "pos")).alias("first"), F.count("*").alias("files")
     )
     return folded.select("feed", "name", promote(F.col("types")).alias("type"), F.col("first.seq_no").alias("first_seq"), "files")
@@ -300,22 +336,29 @@ def cast_cell(value: Column, kind: Column) -> Column:
 
 
 def consistent_rows(tables: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """All files of all feeds in one table: ``feed, file_no, table_id, row_index, values MAP<name, text>``.
+    """All files of all feeds in one table: ``feed, file_no, table_id, row_index, values, misfits``, maps of name and text.
 
-    Columns that were renamed keep their file's names here; :func:`schema_changes` tells which go on under which.
-    Values are cast to the feed's union type and rendered as text; what does not fit is NULL.  Repeated files come
-    once.  Rows whose width is not the header's belong to the rejects and are left out.
+    Columns that were renamed stand under their latest name in all files.  Values are cast to the feed's union type
+    and rendered as text; what does not fit is NULL there and stands as it was read in ``misfits``.  Repeated files
+    come once.  Rows whose width is not the header's belong to the rejects and are left out.
     """
     schemas = staged(grid_schemas(tables)) if schemas is None else schemas
-    types = union_schema(schemas).groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("types"))
+    renamed = staged(column_names(schemas))
+    types = union_schema(schemas, renamed).groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("types"))
+    latest = renamed.groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("name", "column"))).alias("latest"))
     name = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     kept = tables.join(schemas.select(F.col("record_id").alias("table_id")), "table_id", "left_semi")
     rows = (
         kept.select("feed", "file_no", "table_id", F.transform(F.get("cells", F.lit(0)), name).alias("names"), F.posexplode("cells").alias("row_index", "row"))
         .filter((F.col("row_index") > 0) & (F.size("row") == F.size("names")))
-        .join(types, "feed")
+        .join(types.join(latest, "feed", "left"), "feed")
     )
     entries = F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: F.struct(F.get("names", i).alias("k"), F.get("row", i).alias("v")))
     first = F.filter(entries, lambda e, i: (e["k"] != "") & (F.array_position("names", e["k"]) == i + 1))
-    cast = F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"], cast_cell(e["v"], F.try_element_at("types", e["k"])))))
-    return rows.filter(F.size("names") > 0).select("feed", "file_no", "table_id", "row_index", cast.alias("values"))
+    column = lambda e: F.coalesce(F.try_element_at("latest", e["k"]), e["k"])
+    named = F.transform(first, lambda e: F.struct(column(e).alias("k"), e["v"].alias("v")))
+    cast = F.transform(named, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"), cast_cell(e["v"], F.try_element_at("types", e["k"])).alias("to")))
+    lost = F.filter("cast", lambda e: e["to"].isNull() & (F.trim(e["v"]) != ""))
+    pairs = lambda c, v: F.map_from_entries(F.transform(c, lambda e: F.struct(e["k"], e[v])))
+    out = rows.filter(F.size("names") > 0).withColumn("cast", cast)
+    return out.select("feed", "file_no", "table_id", "row_index", pairs("cast", "to").alias("values"), pairs(lost, "v").alias("misfits"))

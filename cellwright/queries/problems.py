@@ -39,9 +39,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """One consistent table of all feeds, a row's values as JSON."""
+    """One consistent table of all feeds, a row's values and the cells that do not fit their column's type as JSON."""
     rows = drift.consistent_rows(table(spark, d, "ir_tables"))
-    return rows.select("feed", "file_no", "row_index", F.to_json("values").alias("values"))
+    return rows.select("feed", "file_no", "row_index", F.to_json("values").alias("values"), F.to_json("misfits").alias("misfits"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p3_found, p3_profile, p5_found, p5_table)}

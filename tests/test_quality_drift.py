@@ -111,3 +111,23 @@ def test_union_table(spark):
     assert got == {(1, 1): {"qty": "1000.0", "due": "2025-01-01"}, (2, 1): {"qty": "1.5", "paid": "true"}}
     types = {r.name: r.type for r in drift.union_schema(drift.grid_schemas(tables)).collect()}
     assert types == {"qty": "float", "due": "date", "paid": "bool"}
+
+
+def test_renamed_columns_are_one(spark):
+    rows = [
+        (1, "f", 1, grid(["qty", "city"], ["int", "str"]), ""),
+        (2, "f", 2, [*grid(["qty", "town"], ["int", "str"]), ["many", "word z"]], ""),
+        (3, "f", 3, grid(["qty", "place"], ["float", "str"]), ""),
+        # a and c stand together, so a -> b -> c cannot be one column
+        (4, "g", 1, grid(["qty", "a"], ["int", "str"]), ""), (5, "g", 2, grid(["qty", "b"], ["int", "str"]), ""),
+        (6, "g", 3, grid(["qty", "c"], ["int", "str"]), ""), (7, "g", 5, grid(["a", "c"], ["str", "str"]), ""),
+    ]
+    tables = spark.createDataFrame(rows, TABLES)
+    schema = {(r.feed, r.name): (r.type, r.first_seq, r.files) for r in drift.union_schema(drift.grid_schemas(tables)).collect()}
+    assert {k: v for k, v in schema.items() if k[0] == "f"} == {("f", "qty"): ("float", 1, 3), ("f", "place"): ("str", 1, 3)}
+    assert {n for f, n in schema if f == "g"} == {"qty", "b", "c"} or {n for f, n in schema if f == "g"} == {"qty", "a", "c"}
+    got = {(r.feed, r.file_no, r.row_index): r for r in drift.consistent_rows(tables).collect()}
+    assert all(set(r["values"]) == {"qty", "place"} for k, r in got.items() if k[0] == "f")
+    assert set(got["g", 5, 1]["values"]) >= {"c"} and len(got["g", 5, 1]["values"]) == 2
+    assert got["f", 1, 1]["values"] == {"qty": "1.0", "place": "word a"}
+    assert got["f", 2, 9]["values"]["qty"] is None and got["f", 2, 9].misfits == {"qty": "many"} and got["f", 1, 1].misfits == {}
