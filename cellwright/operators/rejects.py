@@ -188,36 +188,66 @@ def parse_records(raw: DataFrame, with_fields: bool = True) -> DataFrame:
     return joined.mapInArrow(_record_reasons(with_fields), schema)
 
 
-def _grid_reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        grids = Grids(b["cells"])
-        value = np.zeros(len(grids.width), bool)
-        value[grids.cell_row[grids.bad_cells()]] = True
-        count = ~grids.is_header & ~grids.right_width
-        rows = np.flatnonzero(count | value)
-        yield pa.record_batch(
-            {
+def _grid_outcomes(with_fields: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grids = Grids(b["cells"])
+            value = np.zeros(len(grids.width), bool)
+            value[grids.cell_row[grids.bad_cells()]] = True
+            count = ~grids.is_header & ~grids.right_width
+            rows = np.flatnonzero(~grids.is_header if with_fields else count | value)
+            reason = np.where(count, "column_count", np.where(value, "value", None)).astype(object)[rows]
+            out = {
                 "table_id": b["table_id"].take(pa.array(grids.row_grid[rows])),
                 "row_index": pa.array(grids.row_index[rows], pa.int32()),
-                "reason": pa.array(np.where(count[rows], "column_count", "value").astype(object), pa.string()),
+                "reason": pa.array(reason, pa.string()),
             }
-        )
+            if with_fields:
+                out["fields"] = b["cells"].flatten().take(pa.array(rows, mask=reason != None))  # noqa: E711
+            yield pa.record_batch(out)
+
+    return run
 
 
-def grid_rejects(tables: DataFrame) -> DataFrame:
-    """Body rows of ``cells`` that do not fit their header or their columns' types: ``table_id, row_index, reason``.
+def grid_outcomes(tables: DataFrame) -> DataFrame:
+    """Every body row of ``cells``: ``table_id, row_index, reason, fields``; ``fields`` holds a good row's cells.
 
     A grid is one row of the table, so all is decided where it is read, without a shuffle.  A NULL or empty grid has
     no rows; a NULL row has no cells and fails by its count; a column without any value takes anything.
     """
-    return tables.select("table_id", "cells").mapInArrow(_grid_reasons, "table_id bigint, row_index int, reason string")
+    return tables.select("table_id", "cells").mapInArrow(_grid_outcomes(True), "table_id bigint, row_index int, reason string, fields array<string>")
 
 
-def invoice_rejects(invoices: DataFrame) -> DataFrame:
-    """Rows of ``invoices`` whose invoice_number or total is no valid value: ``row_id, reason``."""
+def grid_rejects(tables: DataFrame) -> DataFrame:
+    """Body rows of ``cells`` that do not fit their header or their columns' types: ``table_id, row_index, reason``."""
+    return tables.select("table_id", "cells").mapInArrow(_grid_outcomes(False), "table_id bigint, row_index int, reason string")
+
+
+def invoice_outcomes(invoices: DataFrame) -> DataFrame:
+    """Every row of ``invoices``: ``row_id, reason, fields``; a good row's are invoice_number, vendor and total."""
     number, total = py_strip(F.col("invoice_number")), py_strip(F.col("total"))
     good = F.coalesce(number.rlike(NUMBER_PATTERN), F.lit(False)) & F.coalesce((total == "") | total.rlike(TOTAL_PATTERN), F.lit(True))
-    return invoices.filter(~good).select("row_id", F.lit("value").alias("reason"))
+    return invoices.select("row_id", F.when(~good, F.lit("value")).alias("reason"), F.when(good, F.array("invoice_number", "vendor", "total")).alias("fields"))
+
+
+def invoice_rejects(invoices: DataFrame) -> DataFrame:
+    """Rows of ``invoices`` whose invoice_number or total is no valid value: ``row_id, reason``."""
+    return invoice_outcomes(invoices).filter("reason is not null").select("row_id", "reason")
+
+
+def loaded_rows(invoices: DataFrame, raw: DataFrame, tables: DataFrame) -> DataFrame:
+    """All good rows of the three inputs: ``origin, record_id, row_index, fields``, the values as they were read.
+
+    With :func:`failing_rows` these are all rows but headers and empty lines.
+    """
+    shape = lambda df, origin, key, index: df.filter("reason is null").select(
+        F.lit(origin).alias("origin"), F.col(key).alias("record_id"), index.cast("int").alias("row_index"), "fields"
+    )
+    return (
+        shape(invoice_outcomes(invoices), "invoices", "row_id", F.lit(0))
+        .unionByName(shape(parse_records(raw).filter("not empty"), "invoices_raw", "raw_id", F.lit(0)))
+        .unionByName(shape(grid_outcomes(tables), "ir_tables", "table_id", F.col("row_index")))
+    )
 
 
 def failing_rows(invoices: DataFrame, raw: DataFrame, tables: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
-    """The good records of invoices_raw with their values, in header order, as text."""
-    good = rejects.parse_records(table(spark, d, "invoices_raw")).filter("reason is null and not empty")
-    return good.select("raw_id", F.to_json("fields").alias("fields"))
+    """The good rows of all three inputs with their values as text: in header order, of invoices number, vendor, total."""
+    good = rejects.loaded_rows(table(spark, d, "invoices"), table(spark, d, "invoices_raw"), table(spark, d, "ir_tables"))
+    return good.select("origin", "record_id", "row_index", F.to_json("fields").alias("fields"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

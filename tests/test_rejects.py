@@ -105,3 +105,24 @@ def test_grids(spark):
     df = spark.createDataFrame(rows, "table_id bigint, cells array<array<string>>")
     out = {(r.table_id, r.row_index): r.reason for r in rejects.grid_rejects(df).collect()}
     assert out == {(1, 3): "value", (1, 4): "column_count", (1, 5): "column_count", (5, 4): "value"}
+
+
+def test_loaded(spark, tmp_path):
+    from cellwright.queries.problems import QUERIES
+
+    invoices = [(1, " INV-1234 ", None, "1,5.0"), (2, "INV-1234", "v", None), (3, None, "v", "1"), (4, "INV-12345", " v", " 2 ")]
+    raw = [(1, "f", "text/csv", 0, "invoice_number,total"), (2, "f", "text/csv", 1, 'INV-1234,"1,000"'), (3, "f", "text/csv", 2, "INV-1234"), (4, "f", "text/csv", 3, "")]
+    grids = [(1, [["a", "b"], ["1", "u"], ["2", None], ["z", "w"], ["3"], None]), (2, None), (3, [["a"], ["x"]])]
+    for name, rows, schema in (
+        ("invoices", invoices, "row_id bigint, invoice_number string, vendor string, total string"),
+        ("invoices_raw", raw, "raw_id bigint, source_id string, content_type string, line_no int, raw_line string"),
+        ("ir_tables", grids, "table_id bigint, cells array<array<string>>"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    loaded = {(r.origin, r.record_id, r.row_index): r.fields for r in QUERIES["p1_loaded"](spark, str(tmp_path)).collect()}
+    assert loaded == {
+        ("invoices", 2, 0): '["INV-1234","v",null]', ("invoices", 4, 0): '["INV-12345"," v"," 2 "]', ("invoices_raw", 2, 0): '["INV-1234","1,000"]',
+        ("ir_tables", 1, 1): '["1","u"]', ("ir_tables", 1, 2): '["2",null]', ("ir_tables", 3, 1): '["x"]',
+    }
+    failed = {(r.origin, r.record_id, r.row_index) for r in QUERIES["p1_found"](spark, str(tmp_path)).collect()}
+    assert failed == {("invoices", 1, 0), ("invoices", 3, 0), ("invoices_raw", 3, 0), *(("ir_tables", 1, i) for i in (3, 4, 5))}
