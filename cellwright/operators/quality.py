@@ -148,6 +148,29 @@ def divergences(classes: DataFrame) -> DataFrame:
     )
 
 
+def dominant_masks(classes: DataFrame) -> DataFrame:
+    """``column_name, mask, share`` of each column's dominant patterns, from what :func:`value_classes` gives."""
+    return dominant_classes(classes.filter("feature = 'mask'")).select("column_name", F.col("class").alias("mask"), "share")
+
+
+def mask_violations(classes: DataFrame) -> DataFrame:
+    """``load_id, column_name, mask, n``: each load's masks that are none of the column's dominant patterns."""
+    masks = classes.filter("feature = 'mask'")
+    common = F.broadcast(staged(dominant_masks(classes).drop("share")))  # at most 1 / DOMINANT_SHARE rows a column
+    return masks.select("load_id", "column_name", F.col("class").alias("mask"), "n").join(common, ["column_name", "mask"], "left_anti").select("load_id", "column_name", "mask", "n")
+
+
+def full_profile(rows: DataFrame, load: str, columns: list[str], numeric: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`load_profile` with each load's mask and size divergence and its share of rare masks and sizes."""
+    # within a struct, a NULL load equals itself and so is compared like the others
+    far = divergences(staged(value_classes(rows.withColumn(load, F.struct(F.col(load).alias("id"))), load, columns, numeric)))
+    one = lambda feature, c: F.max(F.when(F.col("feature") == feature, F.col(c)))
+    parts = [one(f, c).alias(f"{f}_{c}") for f in ("mask", "size") for c in ("divergence", "rare_share")]
+    far = far.groupBy(F.col("load_id.id").alias("l"), F.col("column_name").alias("c")).agg(*parts)
+    profile = load_profile(rows, load, columns, numeric)
+    return profile.join(far, F.col("load_id").eqNullSafe(F.col("l")) & (F.col("column_name") == F.col("c")), "left").drop("l", "c")
+
+
 def _robust(df: DataFrame, by: list[str], c: str) -> DataFrame:
     """``df`` with the median of ``c`` over each ``by`` and the median distance from it."""
     mid = df.groupBy(*by).agg(F.median(c).alias("mid"))

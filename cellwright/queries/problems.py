@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.operators import drift, quality, rejects
-from cellwright.session import table
+from cellwright.session import staged, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,25 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _totals_and_vendors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "invoices").select("load_id", "total", "vendor")
+
+
+def p3_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """The whole profile of each load: with distinct values, divergences and the shares of rare masks and sizes."""
+    return quality.full_profile(_totals_and_vendors(spark, d), "load_id", ["total", "vendor"], ("total",))
+
+
+def p3_dominant(spark: SparkSession, d: str) -> DataFrame:
+    """The dominant masks of each column with their shares."""
+    return quality.dominant_masks(staged(quality.value_classes(_totals_and_vendors(spark, d), "load_id", ["total", "vendor"])))
+
+
+def p3_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Each load's rare masks, however few its rows with them."""
+    return quality.mask_violations(staged(quality.value_classes(_totals_and_vendors(spark, d), "load_id", ["total", "vendor"])))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     schemas = drift.grid_schemas(table(spark, d, "ir_tables")).unionByName(drift.declared_schemas(table(spark, d, "resolved_schemas")))
     return drift.schema_changes(schemas).distinct()
@@ -44,7 +63,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("feed", "file_no", "row_index", F.to_json("values").alias("values"), F.to_json("misfits").alias("misfits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p3_found, p3_profile, p5_found, p5_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p3_found, p3_profile, p3_distribution, p3_dominant, p3_violations, p5_found, p5_table)}
 
 _NUMBER = "^INV-[0-9]{4,10}$"
 _TOTAL = r"^([+-]?[0-9]+(,[0-9]{3})*(\.[0-9]+)?|[+-]?\.[0-9]+)$"

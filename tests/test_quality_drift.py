@@ -61,6 +61,20 @@ def test_profile(spark):
     assert rows[None, "total"].least == -2.5
 
 
+def test_violations(spark, tmp_path):
+    from cellwright.queries.problems import QUERIES
+
+    rows = [(k % 4, f"{k}.5", "Acme Corp") for k in range(4000)] + [(2, "12x", "Acme Corp"), (2, "34y", "Acme Corp"), (3, "1.5", "#?"), (None, "2.5", "Acme Corp")]
+    spark.createDataFrame(rows, "load_id int, total string, vendor string").write.parquet(f"{tmp_path}/invoices.parquet")
+    run = lambda q: QUERIES[q](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("p3_violations")} == {(2, "total", "9a", 2), (3, "vendor", "#?", 1)}
+    assert {(r.column_name, r.mask) for r in run("p3_dominant")} == {("total", "9.9"), ("vendor", "Aa Aa")}
+    got = {(r.load_id, r.column_name): r for r in run("p3_distribution")}
+    assert abs(got[2, "total"].mask_rare_share - 2 / 1002) < 1e-12 and got[1, "total"].mask_rare_share == 0
+    assert got[2, "total"].mask_divergence > got[1, "total"].mask_divergence and got[1, "vendor"]["distinct"] == 1
+    assert got[None, "total"].n == 1 and got[None, "total"].mask_rare_share == 0
+
+
 TABLES = "table_id bigint, feed string, file_no int, cells array<array<string>>, columns string"
 
 
