@@ -28,7 +28,7 @@ from cellwright.session import staged
 #: Least Jaro-Winkler similarity of two main words (an error in the second letter can cost 0.1), most errors by length.
 LEAST_SIMILARITY = 0.82
 SHORT_WORD, LONG_WORD = 5, 9
-#: Words of a block beyond which it is cut by a second code, and parties whose pairs one task makes.
+#: Words that make a block a big one, which is compared like any other, and parties whose pairs one task makes.
 BLOCK_WORDS, CHUNK = 3_000, 500
 
 # Nicknames and the given names they stand for.
@@ -431,14 +431,8 @@ def links(mains: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(k, pa.string()), pa.array(x, pa.string()), pa.array(y, pa.string())], names=["kind", "a", "b"])
 
     coded = staged(mains.mapInArrow(codes, "kind string, main string, n bigint, blocks array<string>").select("kind", "main", "n", F.explode("blocks").alias("block")))
-    sizes = coded.groupBy("kind", "block").agg(F.count("*").alias("words")).filter(F.col("words") > BLOCK_WORDS)
-    # a block of very many words is cut by the places of a word's parts: two errors leave one of three parts as it is,
-    # moved by two letters at most, so no link is lost
-    third = F.greatest(F.lit(2), F.floor(F.length("main") / 3)).cast("int")
-    parts = F.array(*[F.concat(F.lit(f"{i}:"), F.substring(F.col("main"), F.lit(1) + i * third + s, third)) for i in range(3) for s in (-2, -1, 0, 1, 2)])
-    big = coded.join(sizes.select("kind", "block"), ["kind", "block"], "left_semi").withColumn("block", F.explode(F.transform(F.array_distinct(parts), lambda p: F.concat("block", F.lit("/"), p))))
-    small = coded.join(sizes.select("kind", "block"), ["kind", "block"], "left_anti")
-    grouped = small.unionByName(big).groupBy("kind", "block").agg(F.collect_list(F.struct("main", "n")).alias("words")).filter(F.size("words") > 1)
+    # no block is cut: comparing costs time in proportion to its words, and any cut by parts of words loses links
+    grouped = coded.groupBy("kind", "block").agg(F.collect_list(F.struct("main", "n")).alias("words")).filter(F.size("words") > 1)
     return grouped.select("kind", "words").mapInArrow(compare, "kind string, a string, b string").distinct()
 
 

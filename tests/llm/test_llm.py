@@ -252,6 +252,16 @@ def test_big_blocks_and_parties(spark, monkeypatch):
     assert names.variant_pairs(members).count() == 190
 
 
+def test_links_in_blocks_above_and_below_the_limit(spark, monkeypatch):
+    words = [("stegonmarbim", 9), ("stegonmarbi", 1)] + [(f"stegonm{a}{b}lkut", 1) for a in "aeiou" for b in "dfprz"]
+    mains = spark.createDataFrame([("person", w, n) for w, n in words], "kind string, main string, n bigint")
+    found = []
+    for limit in (1, 3_000):
+        monkeypatch.setattr(names, "BLOCK_WORDS", limit)
+        found.append({(r.a, r.b) for r in names.links(mains).collect()})
+    assert found[0] == found[1] and ("stegonmarbi", "stegonmarbim") in found[0]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y")], "a string, b string")
     got = {r.node: r.root for r in names.components(edges).collect()}
