@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 from cellwright.operators.lineage import LINEAGE, data_columns
 from cellwright.operators.transforms import any_to_markdown
 
-FORMATS = ("csv", "parquet", "json", "markdown")
-BY_EXTENSION = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "md": "markdown", "markdown": "markdown"}
+# The formats with the endings of their files.
+ENDINGS = {"csv": ("csv",), "parquet": ("parquet", "pq"), "json": ("json",), "markdown": ("md", "markdown")}
+FORMATS = tuple(ENDINGS)
 
 
 def export_format(path: str, declared: str | None = None) -> str:
-    """The declared format, else the extension's, else CSV; an unknown declared one is an error."""
+    """The format to write: ``declared`` where it is given, else the one that the path's ending belongs to, else CSV."""
+    asked = (declared or "").strip().lower()
+    if asked in FORMATS:
+        return asked
     if declared:
-        name = declared.strip().lower()
-        if name not in FORMATS:
-            raise ValueError(f"unsupported export format {declared!r}; choose one of: {', '.join(FORMATS)}")
-        return name
-    return BY_EXTENSION.get(PurePosixPath(path).suffix.lower().lstrip("."), "csv")
+        raise ValueError(f"cannot export as {declared!r}: known formats are {', '.join(FORMATS)}")
+    ending = PurePosixPath(path).suffix[1:].lower()
+    return next((kind for kind, all_ in ENDINGS.items() if ending in all_), "csv")
 
 
 def lineage_json(c: str = LINEAGE) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,8 +224,20 @@ def test_review(spark):
 
 def test_geometry(spark):
     words = [{"text": f"w{i}", "x0": 50.0 if i % 2 else 320.0, "x1": 250.0 if i % 2 else 550.0, "top": (i // 2) * 12.0, "bottom": (i // 2) * 12.0 + 10, "page_width": 600.0, "page_id": 1} for i in range(80)]
-    assert [len(f) for f in geometry.flows(words, 600.0)] == [40, 40]
-    assert geometry.flows(words[:20], 600.0) == [words[:20]]
+    boxes = lambda rows: geometry.Boxes.of(pd.DataFrame(rows))
+    left, right = geometry.flows(boxes(words), 600.0)
+    assert [words[i]["text"] for i in left] == [f"w{i}" for i in range(1, 80, 2)] and len(right) == 40
+    assert [len(f) for f in geometry.flows(boxes(words[:20]), 600.0)] == [20]
+    # a line across the page, between two parts in columns, stays in its place and takes its whole line with it
+    many = words + [w | {"top": w["top"] + 480, "bottom": w["bottom"] + 480} for w in words[:40]]
+    title = [w | {"text": "title", "x0": 100.0, "x1": 500.0} if i == 40 else w for i, w in enumerate(many)]
+    assert [len(f) for f in geometry.flows(boxes(title), 600.0)] == [20, 20, 2, 39, 39]
+    gap = [w | {"top": w["top"] + 30 * (i >= 20), "bottom": w["bottom"] + 30 * (i >= 20)} for i, w in enumerate(words[:40])]
+    page = boxes(gap)
+    assert [len(p) for p in geometry.paragraphs(page, geometry.flows(page, 600.0)[0])] == [20, 20]
+    # words whose tops differ by little are one line, in the order of their places
+    slanted = boxes([{"x0": x, "x1": x + 5, "top": t, "bottom": t + 10} for x, t in ((40.0, 10.0), (20.0, 12.5), (0.0, 11.0), (0.0, 30.0))])
+    assert geometry.paragraphs(slanted, geometry.flows(slanted, 600.0)[0])[0].tolist() == [2, 1, 0]
     out = geometry.page_paragraphs(spark.createDataFrame(words)).orderBy("para").collect()
     assert len(out) == 2 and out[0].x1 == 250.0
     glyphs = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 30.0), (2, None)], "page_id int, height double")
