@@ -3,9 +3,10 @@
 1. A spelling is its key: lower case, letters and digits only.  Each key is parsed once into the party's main word
    (family name, or the made-up word of a firm), its facet (given name, line of business or depot number) and words
    that tell nothing (titles, legal forms, order, shortened or left-out words of firms).
-2. Distinct main words are blocked by the phonetic codes of their halves, in the order of sorted tokens; one typing
-   error leaves one half alone.  In a block each word is compared by Jaro-Winkler, guarded by the number of typing
-   errors, with the more frequent words only, so a block gives one link a word, not all pairs.
+2. Distinct main words are blocked by the phonetic code of their sorted tokens and by what is left of them without one
+   or two letters: two words with that many typing errors always share such a block, whatever the errors do to the
+   code.  A block is a run of one sorted key, compared with arrays by typing errors and Jaro-Winkler.  In a run every
+   word meets the first one, and those that it is not alike meet all others, so no accepted pair is left apart.
 3. Connected components of the links are the main words' classes.
 4. Within a class the facets are told apart: nicknames, initials and typing errors of given names are one, different
    given names, lines of business and depot numbers are not.  An initial or a missing facet joins what it fits if that
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +30,8 @@ from cellwright.session import staged
 #: Least Jaro-Winkler similarity of two main words (an error in the second letter can cost 0.1), most errors by length.
 LEAST_SIMILARITY = 0.82
 SHORT_WORD, LONG_WORD = 5, 9
-#: Words that make a block a big one, which is compared like any other, and parties whose pairs one task makes.
-BLOCK_WORDS, CHUNK = 3_000, 500
+#: Spellings of a party whose pairs one task makes, and pairs of words that are compared at once.
+CHUNK, PAIRS = 500, 200_000
 
 # Nicknames and the given names they stand for.
 NICKNAMES = {
@@ -140,9 +142,14 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * start * (1 - jaro)
 
 
+def most_errors(shorter: int, same_sound: bool) -> int:
+    """Typing errors that two words of at least so many letters may differ by; short words must sound the same."""
+    return 2 if shorter >= LONG_WORD else 1 if shorter >= SHORT_WORD or (same_sound and shorter >= 3) else 0
+
+
 def alike(a: str, b: str) -> bool:
     """Whether two main words are one word with typing errors."""
-    most = 0 if min(len(a), len(b)) < SHORT_WORD else 1 if min(len(a), len(b)) < LONG_WORD else 2
+    most = most_errors(min(len(a), len(b)), phonetic(a) == phonetic(b))
     return a == b or (most > 0 and errors(a, b, most) <= most and jaro_winkler(a, b) >= LEAST_SIMILARITY)
 
 
@@ -159,20 +166,6 @@ def phonetic(word: str) -> str:
     return "".join(out) or word[:1]
 
 
-def half(length: int) -> int:
-    """Letters of a word's first and last part: parts that do not meet, so an error spoils one of them only."""
-    return 6 if length >= 12 else 5 if length >= 10 else 4 if length >= 8 else 3
-
-
-def blocks(word: str) -> list[str]:
-    """The word's blocks: the phonetic codes of its first and of its last part.
-
-    Where a letter more or less changes the parts' length, the word has the blocks of both lengths.
-    """
-    sizes = sorted({half(len(word) + d) for d in (-1, 0, 1)})
-    return [x for n in sizes for x in (f"{n}<{phonetic(word[:n])}", f"{n}>{phonetic(word[-n:])}")]
-
-
 def shortened(word: str, letters: int) -> set[str]:
     """The word itself and what is left of it without up to so many letters."""
     out = {word}
@@ -321,7 +314,7 @@ def same_given(a: str, b: str) -> bool:
         return True
     if a.endswith(".") or b.endswith("."):
         return False
-    forms = lambda x: {x, NICKNAMES.get(x, x), ALSO.get(x, x)}
+    forms = _given_forms
     if forms(a) & forms(b):
         return True
     if a in GIVEN and b in GIVEN:
@@ -337,25 +330,48 @@ def facets(kind: str, found: list[tuple[str, int]]) -> dict[str, str]:
     Facets are taken by how often they occur; each joins the first it is the same as.  Initials and missing facets
     come last and join the only party they fit, else one of their own.
     """
-    parties: dict[str, list[str]] = {}
+    order: dict[str, int] = {}
+    near: dict[str, list[tuple[str, str]]] = {}
+    letters: dict[str, set[str]] = {}
     out: dict[str, str] = {}
+
+    def join(f: str, home: str) -> None:
+        order.setdefault(home, len(order))
+        for x in _given_forms(f):
+            letters.setdefault(x[0], set()).add(home)
+        for x in _near_forms(f):
+            near.setdefault(x, []).append((f, home))
+        out[f] = home
+
     full = sorted((f for f in found if f[0] and not f[0].endswith(".")), key=lambda x: (-x[1], x[0]))
     for f, _ in full:
         # the formal name joins first, so a nickname of two names goes to the one that is there
-        fits = [p for p, own in parties.items() if (kind == "person" and any(same_given(f, o) for o in own)) or p == f]
-        home = fits[0] if fits else f
-        parties.setdefault(home, []).append(f)
-        out[f] = home
+        met = {m for x in _near_forms(f) for m in near.get(x, ())} if kind == "person" else set()
+        fits = sorted({home for o, home in met if same_given(f, o)}, key=order.__getitem__)
+        join(f, f if not fits else fits[0])
     for f, _ in sorted((f for f in found if not f[0] or f[0].endswith(".")), key=lambda x: (x[0] == "", -x[1], x[0])):
-        initial = f[:1] if f.endswith(".") else ""
-        letters = lambda own: {x[0] for o in own for x in (o, NICKNAMES.get(o, o), ALSO.get(o, o)) if x}
-        fits = [p for p, own in parties.items() if not initial or initial in letters(own)]
-        home = fits[0] if len(fits) == 1 else f or "?"
-        parties.setdefault(home, [f] if f else [])
-        out[f] = home
+        fits = letters.get(f[0], set()) if f else set(order)
+        home = next(iter(fits)) if len(fits) == 1 else f or "?"
+        if f:
+            join(f, home)
+        else:
+            order.setdefault(home, len(order))
+            out[f] = home
     return out
 
 
+def _given_forms(name: str) -> set[str]:
+    """A given name with the names that it may be a nickname of."""
+    return {name, NICKNAMES.get(name, name), ALSO.get(name, name)}
+
+
+def _near_forms(name: str) -> set[str]:
+    """What two given names that are the same have in common at least one of."""
+    forms = _given_forms(name)
+    out = forms | {y for x in forms if len(x) >= 3 for y in shortened(x, 1)}
+    return out | shortened(name, 2) if len(name) >= 8 else out
+
+
 def spellings(columns: list[DataFrame]) -> DataFrame:
     """``key, text, n``: the keys of one-column frames of names, each with its best separated text and its rows.
 
@@ -367,7 +383,7 @@ def spellings(columns: list[DataFrame]) -> DataFrame:
         value = F.col(df.columns[0])
         one = df.filter(value.isNotNull()).groupBy(value.alias("text")).agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
-    keyed = out.withColumn("key", normal_key(F.col("text"))).filter((F.length("key") > 2) & ~F.col("key").rlike(VENDOR_CODE) & ~F.col("key").isin(*sorted(PLACEHOLDERS)))
+    keyed = out.withColumn("key", normal_key(F.col("text"))).filter((F.col("key") != "") & ~F.col("key").rlike(VENDOR_CODE) & ~F.col("key").isin(*sorted(PLACEHOLDERS)))
     parts = F.size(F.split(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}.']+", " ")), " "))
     best = F.struct(parts.alias("parts"), F.regexp_count("text", F.lit(",")).alias("commas"), F.col("n"), F.col("text"))
     return keyed.groupBy("key").agg(F.max_by("text", best).alias("text"), F.sum("n").alias("n"))
@@ -401,39 +417,166 @@ def parties(found: DataFrame) -> DataFrame:
     return judged.mapInArrow(run, "key string, kind string, main string, facet string, n bigint").filter("kind is not null")
 
 
+# A word as a row of numbers: its letters, then zeros.  A left-out letter shifts those behind it, so with a polynomial
+# hash the hashes of all shortened forms follow from running sums; equal forms have equal hashes, and hashes that are
+# equal by chance only bring words together that are then compared.
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BACK_TWO = np.uint64(pow(int(_BASE), -2, 1 << 64))
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Words as rows of letters, short ones filled up with zeros."""
+    return np.array(words, dtype=f"<U{max(map(len, words), default=1) or 1}").view(np.uint32).reshape(len(words), -1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def block_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``word position, key`` of all blocks of words: of the phonetic code, and of the forms without 0, 1 or 2 letters.
+
+    Words of :data:`LONG_WORD` letters and more may lose two, shorter ones one; forms of all lengths are one key space.
+    """
+    owner = [np.arange(len(words))]
+    codes = [phonetic(w) for w in words]
+    # the codes' own key space: a letter in front that no form has
+    keys = [_hash_of(_letters(["\x01" + c for c in codes])) if words else np.zeros(0, np.uint64)]
+    sizes = np.array([len(w) for w in words], int)
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        weight = np.multiply.accumulate(np.full(n, _BASE))
+        sums = np.zeros((len(at), n + 1), np.uint64)
+        sums[:, 1:] = np.cumsum((_letters([words[i] for i in at]).astype(np.uint64) + np.uint64(1)) * weight, axis=1, dtype=np.uint64)
+        whole = sums[:, -1]
+        # the words with letters that may be wrong lose one or two; letters behind a lost one move forward
+        i = np.arange(n)
+        one = sums[:, i] + (whole[:, None] - sums[:, i + 1]) * _BACK
+        forms = [whole[:, None], one]
+        if n >= LONG_WORD:
+            i, j = np.triu_indices(n, 1)
+            forms.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * _BACK + (whole[:, None] - sums[:, j + 1]) * _BACK_TWO)
+        all_ = np.sort(np.concatenate(forms, axis=1), axis=1)
+        first = np.ones(all_.shape, bool)
+        first[:, 1:] = all_[:, 1:] != all_[:, :-1]
+        owner.append(at[np.nonzero(first)[0]])
+        keys.append(all_[first])
+    return np.concatenate(owner), _mixed(np.concatenate(keys)).view(np.int64)
+
+
+def _hash_of(letters: np.ndarray) -> np.ndarray:
+    weight = np.multiply.accumulate(np.full(letters.shape[1], _BASE))
+    used = np.where(letters > 0, letters.astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return (used * weight).sum(1, dtype=np.uint64)
+
+
+def errors_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`errors`, without a limit, of many pairs at once: rows of letters ``a`` and ``b``."""
+    n, m = a.shape[1], b.shape[1]
+    a_len, b_len = (a > 0).sum(1), (b > 0).sum(1)
+    table = np.zeros((n + 1, m + 1, len(a)), np.int16)
+    table[:, 0] = np.arange(n + 1)[:, None]
+    table[0] = np.arange(m + 1)[:, None]
+    for x in range(1, n + 1):
+        for y in range(1, m + 1):
+            same = a[:, x - 1] == b[:, y - 1]
+            cost = np.minimum(np.minimum(table[x - 1, y], table[x, y - 1]) + 1, table[x - 1, y - 1] + ~same)
+            if x > 1 and y > 1:
+                swapped = (a[:, x - 1] == b[:, y - 2]) & (a[:, x - 2] == b[:, y - 1])
+                cost = np.where(swapped, np.minimum(cost, table[x - 2, y - 2] + 1), cost)
+            table[x, y] = cost
+    return table[a_len, b_len, np.arange(len(a))]
+
+
+def alike_pairs(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """:func:`alike` of many pairs of different ``words``, given by their places."""
+    out = np.zeros(len(x), bool)
+    sizes = np.char.str_len(words)
+    for at in np.array_split(np.arange(len(x)), max(1, -(-len(x) // PAIRS))):
+        short = np.minimum(sizes[x[at]], sizes[y[at]])
+        at = at[(np.abs(sizes[x[at]] - sizes[y[at]]) <= 2) & (short >= 3)]
+        if not len(at):
+            continue
+        used = np.unique(np.concatenate([x[at], y[at]]))
+        letters = _letters(words[used].tolist())
+        found = errors_of(letters[np.searchsorted(used, x[at])], letters[np.searchsorted(used, y[at])])
+        close = at[found <= 2]
+        out[close] = [alike(a, b) for a, b in zip(words[x[close]].tolist(), words[y[close]].tolist(), strict=True)]
+    return out
+
+
+def _run_links(keys: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked words within the runs of equal ``keys`` and kinds (sorted)."""
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(keys)))
+    run = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(keys))
+    others = place[~new]
+    heads = start[run[others]]
+    met = alike_pairs(words, heads, others)
+    found = [(heads[met], others[met])]
+    for i in others[~met].tolist():  # few: words of a run that are not alike its first word meet all others of it
+        own = np.arange(start[run[i]] + 1, start[run[i]] + size[run[i]])
+        own = own[own != i]
+        for part in np.array_split(own, max(1, -(-len(own) // PAIRS))):
+            if len(part):
+                near = alike_pairs(words, np.full(len(part), i), part)
+                found.append((np.full(int(near.sum()), i), part[near]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def links(mains: DataFrame) -> DataFrame:
-    """``kind, a, b``: main words linked with a more frequent word of one of their blocks."""
+    """``kind, a, b`` (``a < b``): links of main words, such that all that are alike are linked or joined by links.
+
+    Every block's words are one run of a sorted key, read in batches.  A word has as many keys as it has shortened
+    forms, about n * n / 2, so keys grow with the words; nothing is cut, whatever the size of a block.
+    """
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b["kind"], b["main"], b["n"], pa.array([blocks(m) for m in b["main"].to_pylist()], pa.list_(pa.string()))], names=["kind", "main", "n", "blocks"])
+            for part in range(0, b.num_rows, 2_000):
+                rows = b.slice(part, 2_000)
+                owner, key = block_keys(rows["main"].to_pylist())
+                at = pa.array(owner)
+                yield pa.record_batch([pa.array(key), rows["kind"].take(at), rows["main"].take(at)], names=["key", "kind", "main"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        schema = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string())])
+
+        def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            key, kind = t["key"].to_numpy(), t["kind"].to_numpy(zero_copy_only=False).astype(str)
+            # rows of keys of their own, which are most, end here
+            equal = (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])
+            used = np.flatnonzero(np.append(equal, False) | np.insert(equal, 0, False)) if len(key) else np.zeros(0, int)
+            words = np.array(t["main"].take(pa.array(used)).to_pylist(), dtype=str) if len(used) else np.zeros(0, "<U1")
+            x, y = _run_links(key[used], kind[used], words)
+            pairs = {(k, min(a, b), max(a, b)) for k, a, b in zip(kind[used][x].tolist(), words[x].tolist(), words[y].tolist(), strict=True) if a != b}
+            k, a, b = zip(*sorted(pairs), strict=True) if pairs else ((), (), ())
+            return pa.record_batch([pa.array(list(k), pa.string()), pa.array(list(a), pa.string()), pa.array(list(b), pa.string())], schema=schema)
+
         for b in batches:
-            out = []
-            for kind, words in zip(b["kind"].to_pylist(), b["words"].to_pylist(), strict=True):
-                # leaders by what is left of them without the letters that may be wrong: only words that share an
-                # entry can be alike, so a block costs time in proportion to its words
-                leaders: dict[str, list[int]] = {}
-                ranked: list[str] = []
-                for w in sorted(words, key=lambda x: (-x["n"], x["main"])):
-                    word = w["main"]
-                    left = shortened(word, 0 if len(word) < SHORT_WORD else 1 if len(word) < LONG_WORD else 2)
-                    near = {i for x in left for i in leaders.get(x, ())}
-                    home = next((i for i in sorted(near) if alike(word, ranked[i])), None)
-                    if home is not None:
-                        out.append((kind, word, ranked[home]))
-                        continue
-                    for x in left:
-                        leaders.setdefault(x, []).append(len(ranked))
-                    ranked.append(word)
-            k, x, y = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.record_batch([pa.array(k, pa.string()), pa.array(x, pa.string()), pa.array(y, pa.string())], names=["kind", "a", "b"])
-
-    coded = staged(mains.mapInArrow(codes, "kind string, main string, n bigint, blocks array<string>").select("kind", "main", "n", F.explode("blocks").alias("block")))
-    # no block is cut: comparing costs time in proportion to its words, and any cut by parts of words loses links
-    grouped = coded.groupBy("kind", "block").agg(F.collect_list(F.struct("main", "n")).alias("words")).filter(F.size("words") > 1)
-    return grouped.select("kind", "words").mapInArrow(compare, "kind string, a string, b string").distinct()
+            if not b.num_rows:
+                continue
+            # the last run may go on in the next batch
+            keys = b["key"].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            rest.append(b.slice(0, cut))
+            if cut:
+                yield linked(rest)
+                rest = []
+            rest.append(b.slice(cut))
+        if rest:
+            yield linked(rest)
+
+    rows = mains.select("kind", "main").mapInArrow(keyed, "key bigint, kind string, main string")
+    runs = rows.repartition("key").sortWithinPartitions("key", "kind")
+    return runs.mapInArrow(compare, "kind string, a string, b string").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:

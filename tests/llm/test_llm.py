@@ -237,31 +237,78 @@ def test_people_exchanged_with_cities(spark):
     assert "patonhaven" not in {r.key for r in members.collect()}
 
 
-def test_big_blocks_and_parties(spark, monkeypatch):
-    random.seed(6)
-    words = ["".join(random.choice("bdgklmnprst") + random.choice("aeiou") for _ in range(6)) for _ in range(60)]
-    typos = [(w[:i] + random.choice("xyz") + w[i + 1 :]) for w in words for i in (1, 4, 9)]
-    mains = spark.createDataFrame([("person", w, 9) for w in words] + [("person", t, 1) for t in typos], "kind string, main string, n bigint")
-    small = {(r.a, r.b) for r in names.links(mains).collect()}
-    monkeypatch.setattr(names, "BLOCK_WORDS", 2)
-    big = {(r.a, r.b) for r in names.links(mains).collect()}
-    linked = lambda edges: {a for a, _ in edges}
-    assert linked(small) <= linked(big) and set(typos) <= linked(small)
+def spoiled(rng, word, times):
+    for _ in range(times):
+        i, kind = rng.randrange(len(word)), rng.randrange(4)
+        word = [word[:i] + word[i + 1 :], word[:i] + rng.choice("aeioubdgklmnprst") + word[i:], word[:i] + rng.choice("aeioubdgklmnprst") + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :]][kind]
+    return word
+
+
+def test_links_lose_no_accepted_pair(spark):
+    """Against all pairs: words with one and two errors anywhere, and one block that half of the words share."""
+    rng = random.Random(6)
+    words = {"".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 7))) for _ in range(80)}
+    words |= {spoiled(rng, w, n) for w in sorted(words) for n in (1, 1, 2, 2)}
+    words |= {f"stegon{x}{y}rbim" for x in "abcdefghijklmnopqrst" for y in "abcdefghijklmnopq"} | {"wolf", "wulf", "wolk", "lee", "ann"}
+    words = sorted(w for w in words if w)
+    mains = spark.createDataFrame([("person", w, 1) for w in words], "kind string, main string, n bigint")
+    found = {(r.a, r.b) for r in names.links(mains.repartition(3)).collect()}
+    accepted = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= 2 and names.alike(a, b)}
+    assert len(accepted) > 5_000 and found <= accepted
+
+    def parts(pairs):
+        root = {w: w for w in words}
+
+        def find(w):
+            while root[w] != w:
+                root[w] = w = root[root[w]]
+            return w
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {w: find(w) for w in words}
+
+    assert parts(found) == parts(accepted)
+    assert ("wolf", "wulf") in accepted and ("wolf", "wolk") not in accepted
+    # firms and persons are never linked; small batches and many small tasks find the same
+    both = mains.withColumn("kind", names.F.expr("if(main < 'm', 'org', 'person')"))
+    assert all((a < "m") == (b < "m") for a, b in ((r.a, r.b) for r in names.links(both).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert parts({(r.a, r.b) for r in names.links(mains).collect()}) == parts(accepted)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert names.links(mains.filter("false")).count() == 0
+
+
+def test_pairs_of_arrays_are_errors_of_words():
+    rng = random.Random(9)
+    a, b = ([("".join(rng.choices("abc", k=rng.randint(1, 7)))) for _ in range(2000)] for _ in range(2))
+    assert names.errors_of(names._letters(a), names._letters(b)).tolist() == [names.errors(x, y, 20) for x, y in zip(a, b, strict=True)]
+    for w in ("aabbccddee", "abc", "añb漢", "straße-weg"):
+        _, keys = names.block_keys([w])
+        assert len(keys) == 1 + len(names.shortened(w, 2 if len(w) >= names.LONG_WORD else 1))
+
+
+def test_facets_by_index_are_those_of_all_pairs():
+    rng = random.Random(8)
+    pool = ["robert", "bob", "rob", "roberta", "alexander", "alexandre", "alex", "sasha", "lex", "ted", "theodore", "edward", "r.", "a.", "", "x.", "maximilian", "maximiliane", "max", "ann"]
+    for _ in range(200):
+        found = [(f, rng.randint(1, 5)) for f in rng.sample(pool, rng.randint(1, 12))]
+        homes: dict[str, list[str]] = {}
+        for f, _ in sorted((x for x in found if x[0] and not x[0].endswith(".")), key=lambda x: (-x[1], x[0])):
+            home = next((p for p, own in homes.items() if any(names.same_given(f, o) for o in own)), f)
+            homes.setdefault(home, []).append(f)
+        got = names.facets("person", found)
+        assert {f: h for f, h in got.items() if f and not f.endswith(".")} == {f: h for h, own in homes.items() for f in own}
+
+
+def test_pairs_of_big_parties(spark, monkeypatch):
     monkeypatch.setattr(names, "CHUNK", 3)
     members = spark.createDataFrame([(f"k{i:02d}", 1) for i in range(20)] + [("z", 2)], "key string, party bigint")
     assert names.variant_pairs(members).count() == 190
 
 
-def test_links_in_blocks_above_and_below_the_limit(spark, monkeypatch):
-    words = [("stegonmarbim", 9), ("stegonmarbi", 1)] + [(f"stegonm{a}{b}lkut", 1) for a in "aeiou" for b in "dfprz"]
-    mains = spark.createDataFrame([("person", w, n) for w, n in words], "kind string, main string, n bigint")
-    found = []
-    for limit in (1, 3_000):
-        monkeypatch.setattr(names, "BLOCK_WORDS", limit)
-        found.append({(r.a, r.b) for r in names.links(mains).collect()})
-    assert found[0] == found[1] and ("stegonmarbi", "stegonmarbim") in found[0]
-
-
 def test_components(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y")], "a string, b string")
     got = {r.node: r.root for r in names.components(edges).collect()}
