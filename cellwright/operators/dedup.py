@@ -27,7 +27,7 @@ def deduplicate(df: DataFrame, keys: list[str] | None = None, order: str = "_ord
     return first.select(*[F.col(f"`__first`.`{c}`") if c in rest else F.col(f"`{c}`") for c in df.columns])
 
 
-def fuzzy_clusters(df: DataFrame, keys: list[str], order: str = "_ord", threshold: float = THRESHOLD, most_rounds: int = 50) -> DataFrame:
+def fuzzy_clusters(df: DataFrame, keys: list[str], order: str = "_ord", threshold: float = THRESHOLD) -> DataFrame:
     """``<order>, leader``: each row's cluster, named by its leader's order, as if rows were taken one by one and
     joined the first cluster whose first row is similar enough.
 
@@ -52,14 +52,14 @@ def fuzzy_clusters(df: DataFrame, keys: list[str], order: str = "_ord", threshol
     # undecided keys: leaders are those without undecided or leading earlier neighbours
     undecided = staged(distinct.select("o"))
     leaders = None
-    for _ in range(most_rounds):
+    while not undecided.isEmpty():  # the first of them is decided in every round, and with it many more
         blocked = near.join(undecided.select(F.col("o").alias("early")), "early").select(F.col("late").alias("o")).distinct()
         new = undecided.join(blocked, "o", "left_anti")
         leaders = staged(new if leaders is None else leaders.unionByName(new))
         led = near.join(leaders.select(F.col("o").alias("early")), "early").select(F.col("late").alias("o")).distinct()
         undecided = staged(undecided.join(leaders, "o", "left_anti").join(led, "o", "left_anti"))
-        if undecided.limit(1).count() == 0:
-            break
+    if leaders is None:
+        leaders = undecided
     joined = near.join(leaders.select(F.col("o").alias("early")), "early").groupBy(F.col("late").alias("o")).agg(F.min("early").alias("leader"))
     homes = distinct.join(joined, "o", "left").select("key", F.coalesce("leader", "o").alias("leader"))
     return keyed.join(homes, "key", "left").select(F.col("o").alias(order), F.coalesce("leader", "o").alias("leader"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.session import staged
+from cellwright.session import Grown, staged
 
 LINEAGE = "_lineage"
 LOCATION = "struct<source_id:string,index:int,char_span:struct<start:bigint,end:bigint>,note:string>"
@@ -100,25 +100,31 @@ def merge_rows(df: DataFrame, cluster: str, order: str, columns: list[str], stra
     return merged.select(cluster, *[F.col(f"`{c}`") for c in columns], "_size", order, lineage(cells, F.col("__flag")).alias(LINEAGE))
 
 
-def resolve_origins(edges: DataFrame, cells: DataFrame, most_rounds: int = 100) -> DataFrame:
+#: Generations that are followed one by one before single parents are skipped in ever longer steps.
+PLAIN_ROUNDS = 4
+
+
+def resolve_origins(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """``cell, origin``: for each of ``cells(cell)`` the ancestors without stored parents, over ``edges(cell, parent)``.
 
-    Each round follows one generation for all cells at once and is written to the shared folder; pairs already met are
-    not followed again, so cycles end.  A cell in a cycle that has no other origin has none.
+    Each round follows one step for all cells at once and is written to the shared folder; pairs already met are not
+    followed again, so cycles end.  There is no limit to the depth: after :data:`PLAIN_ROUNDS` steps, an edge to a cell
+    with one parent only leads on to that parent, so long chains halve with every round.  A cell in a cycle that has no
+    other origin has none; NULL cells and parents and repeated edges are left out.
     """
-    spark = edges.sparkSession
     edges = staged(edges.filter("cell is not null and parent is not null").select("cell", "parent").distinct())
-    met = staged(cells.select("cell", F.col("cell").alias("at")).distinct())
-    front, all_met = met, met
-    for _ in range(most_rounds):
-        step = front.join(edges.select(F.col("cell").alias("at"), "parent"), "at").select("cell", F.col("parent").alias("at")).distinct()
-        front = staged(step.join(all_met, ["cell", "at"], "left_anti"))
-        if front.limit(1).count() == 0:
-            break
-        all_met = all_met.unionByName(front)
-    del spark
-    roots = all_met.join(edges.select(F.col("cell").alias("at")).distinct(), "at", "left_anti")
-    return roots.select("cell", F.col("at").alias("origin"))
+    inner = edges.select(F.col("cell").alias("at")).distinct()
+    front = staged(cells.filter("cell is not null").select("cell", F.col("cell").alias("at")).distinct())
+    met, steps, rounds = Grown(front), edges, 0
+    while not front.isEmpty():
+        rounds += 1
+        if rounds > PLAIN_ROUNDS:
+            one = steps.groupBy(F.col("cell").alias("parent")).agg(F.count("*").alias("n"), F.min("parent").alias("further"))
+            steps = staged(steps.join(one.filter("n = 1"), "parent", "left").select("cell", F.coalesce("further", "parent").alias("parent")).distinct())
+        step = front.join(steps.select(F.col("cell").alias("at"), "parent"), "at").select("cell", F.col("parent").alias("at")).distinct()
+        front = staged(step.join(met.frame, ["cell", "at"], "left_anti"))
+        met.add(front)
+    return met.frame.join(inner, "at", "left_anti").select("cell", F.col("at").alias("origin"))
 
 
 def resolve_terminal(df: DataFrame, key: str) -> DataFrame:

@@ -12,25 +12,34 @@ NUMERIC_SHARE = 0.8
 BINS, TOP = 10, 10
 
 
+def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value, n``: every column's values as text with their counts, combined before one shuffle."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def _all_columns(df: DataFrame, columns: list[str], flat: DataFrame) -> DataFrame:
+    """``flat`` in the order of ``columns``, those of an empty table with NULL counts."""
+    return df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "_i int, column string").join(F.broadcast(flat), "column", "left").orderBy("_i").drop("_i")
+
+
 def data_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, rows, non_null, unique`` of each column; NULL is no value."""
-    parts = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(F.col(f"`{c}`")).alias("non_null"), F.count_distinct(F.col(f"`{c}`")).alias("unique")) for c in columns]
-    return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    flat = _value_counts(df, columns).groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("non_null"), F.count("value").alias("unique"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return _all_columns(df, columns, flat).select("column", *map(zero, ("rows", "non_null", "unique")))
 
 
 def column_profiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, kind, rows, non_null, fill_rate, unique, min, max, mean``; a categorical column has no range."""
-    parts = []
-    for c in columns:
-        v = F.col(f"`{c}`")
-        number = coerce_float(v.cast("string"))
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(v).alias("non_null"), F.count_distinct(v).alias("unique"),
-                F.count(number).alias("numbers"), F.min(number).alias("lo"), F.max(number).alias("hi"), F.avg(number).alias("avg"),
-            )
-        )
-    flat = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    number = coerce_float(F.col("value"))
+    times = F.when(number.isNotNull(), F.col("n"))
+    flat = _value_counts(df, columns).groupBy("column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("non_null"), F.count("value").alias("unique"),
+        F.sum(times).alias("numbers"), F.min(number).alias("lo"), F.max(number).alias("hi"), (F.sum(number * times) / F.sum(times)).alias("avg"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    flat = _all_columns(df, columns, flat).select("column", *map(zero, ("rows", "non_null", "unique", "numbers")), "lo", "hi", "avg")
     numeric = (F.col("rows") > 0) & (F.col("numbers") >= NUMERIC_SHARE * F.col("rows"))
     return flat.select(
         "column", F.when(numeric, "numeric").otherwise("categorical").alias("kind"), "rows", "non_null",
@@ -66,9 +75,9 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 def exact_median(df: DataFrame, value: Column, most: int = 100_000) -> float | None:
     """The exact median of a numeric expression, for any number of rows; None without values.
 
-    Spark's own exact median keeps all distinct values in one task.  Here approximate percentiles bracket the middle,
-    rows below the bracket are counted, and the bracket is narrowed, a scan each time, until it has at most ``most``
-    distinct values, whose counts are then read.
+    Spark's own exact median keeps all distinct values in one task.  Here the range that holds the middle is narrowed,
+    a scan each time, until it has at most ``most`` distinct values, whose counts are then read: by approximate
+    percentiles, and where these miss the middle by halving the range, which always ends.
     """
     values = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
     n = values.count()
@@ -81,17 +90,27 @@ def exact_median(df: DataFrame, value: Column, most: int = 100_000) -> float | N
         counts = part.groupBy("v").agg(F.count("*").alias("n"))
         if inside <= most or counts.limit(most + 1).count() <= most:
             break
-        ends = [max(0.0, (first - below) / inside - slack), min(1.0, (last - below) / inside + slack)]
-        a, b = part.agg(F.percentile_approx("v", ends, 10_000)).first()[0]
-        row = part.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
-        if below + row[0] <= first and last < below + row[0] + row[1] and row[1] < inside:
-            low, high, below, inside = a, b, below + row[0], row[1]
-        else:  # the approximation missed; look further around the middle
-            slack *= 4
-            if slack > 1:
-                break
+        if slack <= 1:
+            ends = [max(0.0, (first - below) / inside - slack), min(1.0, (last - below) / inside + slack)]
+            a, b = part.agg(F.percentile_approx("v", ends, 10_000)).first()[0]
+            under, within = part.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+            if below + under <= first and last < below + under + within and within < inside:
+                low, high, below, inside = a, b, below + under, within
+            else:  # the approximation missed; look further around the middle
+                slack *= 4
+            continue
+        least, greatest = part.agg(F.min("v"), F.max("v")).first()
+        middle = least / 2 + greatest / 2
+        # more than ``most`` distinct values lie between them, so the middle is below the greatest
+        under, left, right = part.agg(F.count_if(F.col("v") <= middle), F.max(F.when(F.col("v") <= middle, F.col("v"))), F.min(F.when(F.col("v") > middle, F.col("v")))).first()
+        if first < below + under <= last:
+            return (left + right) / 2
+        if last < below + under:
+            low, high, inside = least, left, under
+        else:
+            low, high, below, inside = right, greatest, below + under, inside - under
     at, found = below, []
-    for v, k in counts.orderBy("v").collect():
+    for v, k in counts.orderBy("v").collect():  # at most ``most``
         found += [v] * sum(at <= rank < at + k for rank in (first, last))
         at += k
     return sum(found) / 2

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.operators import lineage
 from cellwright.plans.catalog import Context, Image, resolve_image
 from cellwright.plans.errors import BackendError, PipelineError
-from cellwright.plans.model import Manifest, Pipeline, Stage
+from cellwright.plans.model import Manifest, Pipeline, Stage, credential
 from cellwright.plans.planner import Plan, make_plan
+from cellwright.plans.plugins import PluginRegistry
+from cellwright.session import staged
 from cellwright.sinks.export import write_export
 
 
@@ -35,6 +39,7 @@ class Result:
     notes: dict[str, dict[str, Any]]
     events: list[Event] = field(default_factory=list)
     errors: dict[str, str] = field(default_factory=dict)
+    notices: list[Event] = field(default_factory=list)
 
     def provenance(self, key: str = "_ord") -> DataFrame:
         return lineage.resolve_terminal(self.frame, key)
@@ -46,8 +51,11 @@ def fingerprint(stage: Stage, upstream: list[str], source: Any) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def execute(spark: SparkSession, pipeline: Pipeline, images: dict[str, Image] | None = None, backend: str = "process", sink: Callable[[Event], None] | None = None) -> Result:
-    """Plans and composes the pipeline.  Stages with equal fingerprints are one frame; one with several users is kept.
+def execute(spark: SparkSession, pipeline: Pipeline, images: dict[str, Image] | None = None, backend: str = "process", sink: Callable[[Event], None] | None = None, mapper: Callable[[dict[str, Any]], dict[str, Any]] | None = None, judge: Callable[[Column, Column], Column] | None = None, plugins: PluginRegistry | None = None) -> Result:
+    """Plans and composes the pipeline.  Stages with equal fingerprints are one frame; one with several users is written once.
+
+    ``mapper`` proposes cells (a language model, say), ``judge`` replaces the grounding scorer, ``plugins`` may hold
+    connectors for further sources.
 
     In permissive mode a stage that loses lineage has it replaced by a broken one; in strict mode the plan refuses it.
     """
@@ -68,6 +76,7 @@ def execute(spark: SparkSession, pipeline: Pipeline, images: dict[str, Image] |
         if sink:
             sink(event)
 
+    result.notices = consent(pipeline, bool(mapper or judge))
     for wave in plan.waves:
         for sid in wave:
             stage = plan.stages[sid]
@@ -76,7 +85,7 @@ def execute(spark: SparkSession, pipeline: Pipeline, images: dict[str, Image] |
             if prints[sid] in done:
                 frames[sid] = done[prints[sid]]
                 continue
-            ctx = Context(spark, source, dict(stage.config), pipeline.schema_mode, pipeline.columns, pipeline.threshold)
+            ctx = Context(spark, source, dict(stage.config), pipeline.schema_mode, pipeline.columns, pipeline.threshold, pipeline.dedup, mapper, pipeline.retries, judge, plugins)
             began = time.monotonic()
             tell(Event(sid, "started"))
             try:
@@ -88,7 +97,7 @@ def execute(spark: SparkSession, pipeline: Pipeline, images: dict[str, Image] |
             if lineage.LINEAGE not in out.columns and pipeline.mode == "permissive":
                 out = lineage.mark_broken(out, lineage.data_columns(out))
             if users[sid] > 1:
-                out = out.persist()
+                out = staged(out)
             frames[sid] = done[prints[sid]] = out
             result.notes[sid] = ctx.notes
             tell(Event(sid, "completed", time.monotonic() - began))
@@ -99,6 +108,19 @@ def execute(spark: SparkSession, pipeline: Pipeline, images: dict[str, Image] |
     return result
 
 
+def consent(pipeline: Pipeline, injected: bool, env: dict[str, str] | None = None) -> list[Event]:
+    """What the user is told before a run: once that data goes to a model's provider, or for each source that it does not.
+
+    A provider is in use if the pipeline names a model and its key is there, or if a function was injected.
+    """
+    model = str(pipeline.llm.get("model") or "")
+    dotenv = Path(pipeline.env_file).read_text() if pipeline.env_file and Path(pipeline.env_file).is_file() else ""
+    if injected or (model and credential(model.partition("/")[0], dict(os.environ) if env is None else env, dotenv)):
+        return [Event("consent", "notice", detail=f"cells are sent to {model or 'an injected function'}")]
+    sources = [s.source for s in pipeline.all_stages() if s.source] or [pipeline.source]
+    return [Event("availability", "notice", detail=f"{s.path or s.uri}: no language model, rules only") for s in sources if s]
+
+
 def result_payload(frame: DataFrame, most_rows: int = 200) -> dict[str, Any]:
     """A result as plain data for a page: its columns, first rows and profiles."""
     from cellwright.operators.profile import column_profiles, histogram, top_values

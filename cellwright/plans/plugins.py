@@ -28,7 +28,9 @@ class PluginRegistry:
 
     def supporting(self, kind: str, what: Any) -> Any:
         """The first plug-in that supports ``what``."""
-        for p in self._plugins[kind].values():
-            if p.supports(what):
-                return p
-        raise LookupError(f"no {kind} supports {what!r}")
+        if (found := self.find(kind, what)) is None:
+            raise LookupError(f"no {kind} supports {what!r}")
+        return found
+
+    def find(self, kind: str, what: Any) -> Any | None:
+        return next((p for p in self._plugins[kind].values() if p.supports(what)), None)

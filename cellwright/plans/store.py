@@ -6,7 +6,8 @@ import json
 import re
 import shutil
 import tarfile
-from dataclasses import asdict
+from dataclasses import asdict, replace
+from importlib import metadata
 from pathlib import Path
 
 from cellwright.plans.errors import ImageError
@@ -70,6 +71,33 @@ class ImageStore:
         found = [self.inspect(n) for n in names if text.lower() in n.lower() and self.versions(n)]
         return [m for m in found if private or not (self.root / m.name / m.version / "private").exists()]
 
+    def build(self, manifest: Manifest, packages: list[str] | None = None, private: bool = False) -> Path:
+        """Pushes a manifest with the installed versions of ``packages`` pinned in it; a package that is not there is an error."""
+        pins = {}
+        for name in packages or []:
+            try:
+                pins[name] = metadata.version(name)
+            except metadata.PackageNotFoundError as e:
+                raise ImageError(f"package {name!r} is not installed and cannot be pinned") from e
+        return self.push(replace(manifest, pins=manifest.pins | pins), private)
+
+    def seed(self, manifests: list[Manifest]) -> list[str]:
+        """Pushes those manifests whose version is not there yet; their names."""
+        new = [m for m in manifests if m.version not in self.versions(m.name)]
+        for m in new:
+            self.push(m)
+        return [m.name for m in new]
+
+    def unpack(self, archive: str | Path) -> str:
+        """Adds a packed image; ``name:version`` of it."""
+        with tarfile.open(archive) as tar:
+            inner = next((m for m in tar.getmembers() if m.isfile() and Path(m.name).name == "manifest.json"), None)
+            if inner is None:
+                raise ImageError(f"{archive} holds no manifest")
+            manifest = from_json(tar.extractfile(inner).read().decode())  # type: ignore[union-attr]
+        self.push(manifest)
+        return f"{manifest.name}:{manifest.version}"
+
     def pack(self, ref: str, path: str | Path) -> Path:
         m = self.inspect(ref)
         with tarfile.open(path, "w:gz") as tar:

@@ -68,6 +68,31 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Grown:
+    """A frame that grows by what is added to it, kept as Parquet in the shared folder: one folder, however many parts."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path = f"{shared_dir(self.spark)}/cellwright-{uuid.uuid4().hex}"
+        atexit.register(_forget, self.spark, self.path)
+        self.frame = self.add(first)
+
+    def add(self, more: DataFrame) -> DataFrame:
+        """Everything added so far with ``more``, which is computed once."""
+        more.write.mode("append").parquet(self.path)
+        self.frame = self.spark.read.schema(self.schema).parquet(self.path)
+        return self.frame
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what :func:`staged` wrote for ``df``; a frame that reads it still must not be used any more."""
+    for path in df.inputFiles():
+        folder = path.rpartition("/")[0]
+        if folder.rpartition("/")[2].startswith("cellwright-"):
+            _forget(df.sparkSession, folder)
+            return
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -74,6 +74,18 @@ def http_sources(urls: DataFrame, headers: dict[str, str] | None = None, timeout
     return urls.select("url").mapInPandas(run, "source_id string, content_type string, content binary, error string")
 
 
+def api_records(bodies: DataFrame, path: str = "") -> DataFrame:
+    """``source_id, content_type, content, error`` of JSON bodies: the objects under a dotted path as flat records.
+
+    Items of a list that are no objects are left out.  A body without records there is an error row.
+    """
+    found = F.filter(records_path(F.decode("content", "utf-8"), path), lambda r: F.schema_of_variant(r).startswith("OBJECT"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(found, lambda r: F.to_json(r)), ","), F.lit("]"))
+    read = bodies.withColumn("records", F.when(F.size(found) > 0, F.encode(text, "utf-8")))
+    error = F.coalesce("error", F.when(F.col("records").isNull(), F.lit(f"no records under {path!r}")))
+    return read.select("source_id", F.lit("application/x-records").alias("content_type"), F.col("records").alias("content"), error.alias("error"))
+
+
 def records_union(frames: list[DataFrame]) -> DataFrame:
     """Records of several frames as text: all their columns, in the order of first appearance; missing and NULL empty."""
     order = list(dict.fromkeys(c for f in frames for c in f.columns))

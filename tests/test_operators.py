@@ -255,3 +255,33 @@ def test_exports(spark, tmp_path):
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "markdown")).collect())
     assert "| name | n |" in text and "| a\\|b | 1 |" in text
     assert [r.n for r in export.as_text(df).collect()] == ["1", "2"]
+
+
+def test_deep_lineage(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(150)] + [("c3", "x"), ("x", "y"), ("loop", "pool"), ("pool", "loop"), ("c70", "loop"), ("c0", None)]
+    edges = spark.createDataFrame(chain, "cell string, parent string")
+    cells = spark.createDataFrame([("c0",), ("c140",), ("loop",), ("alone",), (None,)], "cell string")
+    got = {(r.cell, r.origin) for r in lineage.resolve_origins(edges, cells).collect()}
+    assert got == {("c0", "c150"), ("c0", "y"), ("c140", "c150"), ("alone", "alone")}
+
+
+def test_long_chain_of_near_rows(spark):
+    # each row is near the one before it only, so which rows lead is known row after row
+    base = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "".join(chr(0x4E00 + j) if j < 3 * i else c for j, c in enumerate(base * 6))) for i in range(60)]
+    got = {r["_ord"]: r.leader for r in dedup.fuzzy_clusters(spark.createDataFrame(rows, "_ord int, s string"), ["s"]).collect()}
+    want, leaders = {}, []
+    for i, s in rows:
+        want[i] = next((k for k, x in leaders if similarity.token_set_ratio(x, s) >= 92), i)
+        leaders += [(i, s)] if want[i] == i else []
+    assert got == want and len(leaders) > 3
+    assert dedup.fuzzy_clusters(spark.createDataFrame(rows[:1], "_ord int, s string").filter("false"), ["s"]).count() == 0
+
+
+def test_median_by_halving(spark, monkeypatch):
+    values = [float(x) for x in (1, 1, 2, 3, 5, 8, 13, 21, 34, 55, -7, 1e300, -1e300, 4, 4)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    monkeypatch.setattr(profile.F, "percentile_approx", lambda *a: profile.F.array(profile.F.lit(1e9), profile.F.lit(-1e9)))
+    for most in (1, 2, 5):
+        assert profile.exact_median(df, profile.F.col("v"), most) == 4.0
+    assert profile.exact_median(df.filter("v > 3.5 and v < 9"), profile.F.col("v"), 1) == 4.5

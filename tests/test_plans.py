@@ -98,6 +98,117 @@ def test_text_source_and_modes(spark, tmp_path):
     assert len(catalog.IMAGES) >= 16
 
 
+def outcomes(result, stage="main"):
+    return {r.source_id.rpartition("/")[2]: r.error for r in result.notes[stage]["outcomes"].collect()}
+
+
+def test_sources_of_both_kinds(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("text,total\nx,1\n")
+    (tmp_path / "in" / "b.txt").write_text("one\n\ntwo")
+    (tmp_path / "in" / "c.txt").write_text("  ")
+    result = executor.execute(spark, model.read_pipeline(f'source: {{type: files, path: "{tmp_path}/in"}}\nimage: document-extractor'))
+    rows = sorted((r.source_id[-5:], r.text, r.total, r.element) for r in result.frame.collect())
+    assert rows == [("a.csv", "x", 1, None), ("b.txt", "one", None, "paragraph"), ("b.txt", "two", None, "paragraph")]
+    found = outcomes(result)
+    assert found["a.csv"] is None and found["b.txt"] is None and found["c.txt"]
+    assert [n.phase for n in result.notices] == ["availability"]
+
+
+def test_strict_dedup_and_mapper(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("vendor,total\nAcme Corp,1\nacme corp,1\nInitech,2\n,3\n")
+    (tmp_path / "in" / "b.csv").write_text("vendor,total\nGlobex,x\nFine,2\n")
+    src = f'source: {{type: files, path: "{tmp_path}/in"}}\nimage: document-extractor\n'
+    strict = executor.execute(spark, model.read_pipeline(src + "schema_mode: strict\ncolumns: {vendor: str, total: int}"))
+    assert {r.source_id[-5:] for r in strict.frame.collect()} == {"a.csv"} and outcomes(strict)["b.csv"] == "row 1: total"
+    once = executor.execute(spark, model.read_pipeline(src + "dedup: {keys: [vendor]}"))
+    rows = {r.vendor: r for r in once.frame.collect()}
+    assert sorted(rows) == ["", "Acme Corp", "Fine", "Globex", "Initech"] and len(rows["Acme Corp"]._lineage.cells["vendor"].locations) == 2
+
+    def propose(row):
+        if row["total"] == "2":
+            raise ValueError("no")
+        return {"vendor": row["vendor"] or "Found Ltd", "total": "9" if row["total"] == "x" else row["total"]}
+
+    filled = executor.execute(spark, model.read_pipeline(src), mapper=propose)
+    got = {(r.vendor, r.total): r._lineage.row_flagged for r in filled.frame.collect()}
+    assert ("Found Ltd", "3") in got and got["Globex", "x"] and ("Initech", "2") in got
+    assert filled.notes["main"]["mapping_errors"].count() == 2 and filled.notices[0].phase == "consent"
+    with pytest.raises(ConfigError):
+        model.read_pipeline(src + "schema_mode: strict")
+    with pytest.raises(ConfigError):
+        model.read_pipeline(src + "llm: {retry_limit: -1}")
+
+
+def test_mapping_and_providers(spark):
+    from cellwright.operators import mapping
+    from cellwright.plans.providers import Providers
+
+    tries = []
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", 3)], "k int, x string, error int").select("k", "x")
+    p = Providers(own=lambda model, prompt: '{"x": "' + model + '"}' if '"a"' in prompt else "no json")
+    got = {r.k: (r.x, r.error) for r in mapping.map_fields(rows, "k", ["x"], p.mapper("own/m1", ["x"])).collect()}
+    assert got[1] == ("m1", None) and got[2][0] is None and got[2][1]
+    assert mapping.map_fields(rows.filter("false"), "k", ["x"], dict).count() == 0
+    for bad in ("own", "other/m"):
+        with pytest.raises(ConfigError):
+            p.resolve(bad)
+    del tries
+
+
+def test_api_source_and_page(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.request import urlopen
+
+    from cellwright.plans import serve
+
+    body = json.dumps({"data": {"items": [{"a": 1, "b": "x"}, "no object", {"a": 2}]}}).encode()
+
+    class Api(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    api = ThreadingHTTPServer(("127.0.0.1", 0), Api)
+    threading.Thread(target=api.serve_forever, daemon=True).start()
+    src = f'source: {{type: api, uri: "http://127.0.0.1:{api.server_port}/", records_path: PATH}}\nimage: document-extractor'
+    result = executor.execute(spark, model.read_pipeline(src.replace("PATH", "data.items")))
+    assert sorted((r.a, r.b) for r in result.frame.collect()) == [(1, "x"), (2, "")]
+    assert "no records" in next(iter(outcomes(executor.execute(spark, model.read_pipeline(src.replace("PATH", "other")))).values()))
+    api.shutdown()
+    server = serve.make_server(executor.result_payload(result.frame), model.Expose(port=0))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    page = urlopen(f"http://127.0.0.1:{server.server_port}/").read().decode()
+    assert "<th>a</th>" in page and json.loads(urlopen(f"http://127.0.0.1:{server.server_port}/api/result").read())["columns"] == ["a", "b"]
+    server.shutdown()
+
+
+def test_command_line(tmp_path, capsys, monkeypatch):
+    import io
+
+    from cellwright.__main__ import main
+
+    s = ["--store", str(tmp_path / "r")]
+    assert main(["init", str(tmp_path / "p")]) == 0 and model.load_pipeline(str(tmp_path / "p" / "pipeline.yaml")).stages
+    assert main(["seed", *s]) == 0 and main(["search", "normal", *s]) == 0 and "normalizer:1.0.0" in capsys.readouterr().out
+    assert main(["pack", "normalizer", str(tmp_path / "n.tgz"), *s]) == 0 and main(["push", str(tmp_path / "n.tgz"), "--store", str(tmp_path / "r2")]) == 0
+    assert main(["pull", "normalizer", str(tmp_path / "c"), "--store", str(tmp_path / "r2")]) == 0
+    (tmp_path / "m.json").write_text(store.to_json(model.Manifest("own", "2.0.0")))
+    assert main(["build", str(tmp_path / "m.json"), "--pin", "numpy", *s]) == 0 and store.ImageStore(tmp_path / "r").inspect("own").pins["numpy"]
+    assert main(["inspect", "none", *s]) == 1 and main(["validate", str(tmp_path / "p" / "pipeline.yaml")]) == 0
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr("sys.stdin", io.StringIO("secret\n"))
+    assert main(["login", "own"]) == 0 and (tmp_path / ".env").read_text() == "OWN_API_KEY=secret\n" and ".env" in (tmp_path / ".gitignore").read_text()
+
+
 def test_same_image_other_config(spark):
     a, b = S("a", "normalizer", [], None, {"columns": ["x"]}), S("b", "normalizer", [], None, {"columns": ["y"]})
     assert executor.fingerprint(a, [], None) != executor.fingerprint(b, [], None)
