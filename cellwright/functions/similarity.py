@@ -96,7 +96,6 @@ def _words(text: str) -> frozenset[str]:
     return frozenset(text.split())
 
 
-@lru_cache(256)  # whole source texts are kept with it
 def support(value: str, source: str) -> float:
     """How well a source supports a value, 0..1: the better of the partial and the word-set ratio."""
     if not value:
@@ -104,6 +103,13 @@ def support(value: str, source: str) -> float:
     return max(partial_ratio(value, source), token_set_ratio(value, source)) / 100 if source else 0.0
 
 
+def supports(values: list[str], source: str) -> list[float]:
+    """:func:`support` of many values by one source; those that stand in it or whose words all do are not aligned."""
+    words = _words(source)
+    sure = [bool(v and source) and (v in source or (bool(own := v.split()) and words.issuperset(own))) for v in values]
+    return [1.0 if s else support(v, source) for v, s in zip(values, sure, strict=True)]
+
+
 @F.pandas_udf(DoubleType())
 def _support(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for values, sources in pairs:

@@ -42,9 +42,10 @@ def fuzzy_clusters(df: DataFrame, keys: list[str], order: str = "_ord", threshol
     marks = F.array_union(F.array_distinct(F.split("key", r"\s+")), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("key") - 2)), lambda i: F.concat(F.lit("\u0001"), F.substring("key", i, 3))))
     marked = distinct.select("key", "o", F.explode(marks).alias("m"))
     counts = marked.groupBy("m").agg(F.count("*").alias("n"))
-    # a pair at the threshold differs in few letters: it shares one of the rarest marks of the shorter key
+    # a pair at the threshold differs by at most (1 - threshold) of both lengths in letters left out or put in.  The shorter
+    # key loses no more letters than it gains, so at most 2.5 trigrams a letter: of one trigram more, one is common
     w = Window.partitionBy("key").orderBy("n", "m")
-    keep = F.ceil(F.size(F.array_distinct(F.split("key", r"\s+"))) + F.length("key") * (1 - threshold) * 3).cast("int")
+    keep = F.ceil(F.size(F.array_distinct(F.split("key", r"\s+"))) + F.length("key") * (1 - threshold) * 5 + 1).cast("int")
     rare = marked.join(counts, "m").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep).select("key", "o", "m")
     pairs = rare.alias("a").join(marked.alias("b"), F.col("a.m") == F.col("b.m")).filter("a.key <> b.key")
     both = pairs.select(F.when(F.col("a.o") < F.col("b.o"), F.struct("a.key", "a.o")).otherwise(F.struct("b.key", "b.o")).alias("x"), F.when(F.col("a.o") < F.col("b.o"), F.struct("b.key", "b.o")).otherwise(F.struct("a.key", "a.o")).alias("y")).distinct()

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions import coerce, infer, similarity
-from cellwright.functions.redact import redact, redaction_counts
+from cellwright.functions.redact import PATTERNS, redact, redaction_counts
 from cellwright.functions.text import py_strip
 from cellwright.operators import dedup, extract, geometry, ground, lineage, profile, review, transforms
-from cellwright.session import shared_dir, table
+from cellwright.session import scratch, table
 from cellwright.sinks import export
 from cellwright.sources import parsers, readers
 
@@ -78,13 +78,9 @@ def detect_content_type(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, {strip_sql('block')} AS text, span_start, span_start + length(block) AS span_end FROM s WHERE {strip_sql('block')} <> ''"""
 )
 def text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null")
-    # each block with the length of all before it, within the row
-    parts = F.split("text", "\n\n")
-    blocks = docs.select("doc_id", parts.alias("parts"), F.posexplode(parts).alias("i", "block"))
-    start = F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0).cast("bigint"), lambda s, x: s + F.length(x) + 2)
-    out = blocks.select("doc_id", py_strip(F.col("block")).alias("text"), start.alias("span_start"), (start + F.length("block")).alias("span_end"))
-    return out.filter("text <> ''")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("text/plain").alias("content_type"), F.encode("text", "utf-8").alias("content"))
+    found = parsers.parse_sources(docs).filter("error is null")
+    return found.select(F.col("source_id").cast("bigint").alias("doc_id"), "text", F.col("location.char_span.start").alias("span_start"), F.col("location.char_span.end").alias("span_end"))
 
 
 @query()
@@ -268,10 +264,20 @@ def elements_fallback(spark: SparkSession, d: str) -> DataFrame:
     return extract.elements_fallback(_elements(spark, d))
 
 
-@query(f"SELECT DISTINCT source_id FROM invoices WHERE source_id NOT IN (SELECT source_id FROM invoices WHERE total IS NULL OR NOT {FLOAT_OK})")
+@query(
+    """
+    WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN 'n/a' ELSE o_totalprice::VARCHAR END AS total FROM orders),
+    bad AS (SELECT o_custkey, min(o_orderkey) AS first_bad FROM o WHERE total = 'n/a' GROUP BY o_custkey)
+    SELECT o_custkey::VARCHAR AS source_id, 'loaded' AS outcome, count(*) AS rows FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM bad) GROUP BY o_custkey
+    UNION ALL SELECT o_custkey::VARCHAR, 'row ' || first_bad || ': total', 0 FROM bad""".replace("AS rows", 'AS "rows"')
+)
 def strict_validate(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "invoices").select("source_id", F.col("row_index").alias("_ord"), "total")
-    return extract.strict_validate(rows, {"total": "float"})[0].select("source_id").distinct()
+    """Customers as sources, their orders as rows: one order without a price fails its whole source."""
+    o = table(spark, d, "orders")
+    total = F.when(F.col("o_orderkey") % 40 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    good, failed = extract.strict_validate(o.select(F.col("o_custkey").cast("string").alias("source_id"), F.col("o_orderkey").alias("_ord"), total.alias("total")), {"total": "float"})
+    counted = good.groupBy("source_id").agg(F.lit("loaded").alias("outcome"), F.count("*").alias("rows"))
+    return counted.unionByName(failed.select("source_id", F.col("reason").alias("outcome"), F.lit(0).cast("bigint").alias("rows")))
 
 
 @query(
@@ -311,7 +317,7 @@ def normalizer_cols(spark: SparkSession, d: str) -> DataFrame:
     return transforms.normalizer(table(spark, d, "dupes").select("dupe_id", "name", "city"), ["city", "unknown"])
 
 
-EMAIL, SSN, PHONE = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"\b\d{3}-\d{2}-\d{4}\b", r"\b(?:\+?\d{1,2}[\s-]?)?(?:\(?\d{3}\)?[\s-]?)\d{3}[\s-]?\d{4}\b"
+EMAIL, SSN, PHONE = PATTERNS.values()
 REDACTED = f"regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{SSN}', '[SSN]', 'g'), '{PHONE}', '[PHONE]', 'g')"
 
 
@@ -391,16 +397,41 @@ def ground_exact(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("feedback_id", F.col("_score_original_value").alias("score"))
 
 
-@query(CLAIMS + " SELECT feedback_id, score < 0.7 AS flagged FROM g")
+def _statements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers' names with their first letters crossed out, more of them from row to row, and statements that hold them.
+
+    A crossed-out letter stands nowhere in the statement, and the name stands in its middle, so the best window is the
+    name's own place: of the n letters n - k are common, and the support is (n - k) / n, on both sides of the threshold.
+    """
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("source_id"), "c_name", "c_mktsegment")
+    crossed = F.least(F.pmod(F.col("c_custkey"), F.lit(19)), F.length("c_name"))
+    rows = c.select("c_custkey", "source_id", F.concat(F.repeat(F.lit("~"), crossed), F.substr("c_name", crossed + 1)).alias("claim"))
+    text = F.concat(F.lit("Statement of account, open items of customer "), "c_name", F.lit(" within the market segment "), "c_mktsegment", F.lit(" as of today"))
+    lines = c.select("source_id", F.lit(0).alias("elem_idx"), F.lit("paragraph").alias("kind"), text.alias("text"), F.lit(None).cast("array<array<string>>").alias("grid"))
+    return rows, ground.source_text(lines)
+
+
+def _scored_statements(spark: SparkSession, d: str) -> DataFrame:
+    rows, texts = _statements(spark, d)
+    return ground.score_cells(rows, texts, {"claim": F.col("claim")})
+
+
+STATEMENTS = "WITH g AS (SELECT c_custkey, (length(c_name) - least(c_custkey % 19, length(c_name)))::DOUBLE / length(c_name) AS score FROM customer)"
+
+
+@query(STATEMENTS + " SELECT c_custkey, round(score, 9) AS score FROM g")
+def ground_score(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_statements(spark, d).select("c_custkey", F.round("_score_claim", 9).alias("score"))
+
+
+@query(STATEMENTS + " SELECT c_custkey, score < 0.7 AS flagged FROM g")
 def ground_flag(spark: SparkSession, d: str) -> DataFrame:
-    scored = ground.score_cells(_claims(spark, d), ground.source_text(_elements(spark, d)), {"original_value": F.col("original_value")}, exact_only=True)
-    return ground.flag_ungrounded(scored, ["original_value"]).select("feedback_id", F.col("_ground_flag").alias("flagged"))
+    return ground.flag_ungrounded(_scored_statements(spark, d), ["claim"]).select("c_custkey", F.col("_ground_flag").alias("flagged"))
 
 
-@query(CLAIMS + " SELECT feedback_id FROM g WHERE score >= 0.7")
+@query(STATEMENTS + " SELECT c_custkey FROM g WHERE score >= 0.7")
 def ground_reject(spark: SparkSession, d: str) -> DataFrame:
-    scored = ground.score_cells(_claims(spark, d), ground.source_text(_elements(spark, d)), {"original_value": F.col("original_value")}, exact_only=True)
-    return ground.flag_ungrounded(scored, ["original_value"], reject=True).select("feedback_id")
+    return ground.flag_ungrounded(_scored_statements(spark, d), ["claim"], reject=True).select("c_custkey")
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -419,15 +450,6 @@ def ground_reject_aligned(spark: SparkSession, d: str) -> DataFrame:
     return ground.flag_ungrounded(_aligned(spark, d), ["original_value"], reject=True).select("feedback_id")
 
 
-@query()
-def ground_score(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's name, one letter changed, against a line of text that holds the right one: aligned in Arrow batches."""
-    c = table(spark, d, "customer")
-    text = F.concat(F.lit("Statement of "), "c_name", F.lit(" in segment "), "c_mktsegment")
-    value = F.overlay("c_name", F.lit("x"), F.lit(3), F.lit(1))
-    return c.select("c_custkey", similarity.support_score(value, text).alias("score"))
-
-
 # deduplication and profiles
 
 
@@ -443,10 +465,25 @@ def deduplicator_all(spark: SparkSession, d: str) -> DataFrame:
     return dedup.deduplicate(rows).select("l_orderkey", "l_partkey", "l_quantity")
 
 
-@query()
+@query(
+    """
+    WITH k AS (SELECT p_partkey * 2 AS row_id FROM part UNION ALL SELECT p_partkey * 2 + 1 FROM part)
+    SELECT row_id, CASE WHEN row_id % 2 = 1 AND (row_id - 1) // 2 % 3 <> 1 THEN row_id - 1 ELSE row_id END AS leader FROM k"""
+)
 def dedup_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("_ord"), "s_name")
-    return dedup.fuzzy_clusters(rows, ["s_name"]).select(F.col("_ord").alias("s_suppkey"), "leader")
+    """Parts' labels of two words, each a second time: with a word more, with other letters, or with its words exchanged."""
+    k, code = F.col("p_partkey"), lambda c: F.substring(F.md5(c.cast("string")), 1, 12)
+    p = table(spark, d, "part").select("p_partkey", F.concat(code(k), F.lit(" "), code(k + 1_000_000_000)).alias("base"))
+    again = F.when(k % 3 == 0, F.concat(F.upper("base"), F.lit(" spare"))).when(k % 3 == 1, code(-k)).otherwise(F.concat(code(k + 1_000_000_000), F.lit(" "), code(k)))
+    rows = p.select((k * 2).alias("_ord"), F.col("base").alias("name")).unionByName(p.select((k * 2 + 1).alias("_ord"), again.alias("name")))
+    return dedup.fuzzy_clusters(rows, ["name"]).select(F.col("_ord").alias("row_id"), "leader")
+
+
+@query()
+def dedup_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
+    """All names of ``dupes``, clustered row by row; equal to brute force in the tests."""
+    rows = table(spark, d, "dupes").select(F.col("dupe_id").alias("_ord"), "name")
+    return dedup.fuzzy_clusters(rows, ["name"]).select(F.col("_ord").alias("dupe_id"), "leader")
 
 
 MERGED = "SELECT user_id, {v} AS event_type, {p} AS props, count(*) AS n FROM events GROUP BY user_id"
@@ -513,11 +550,10 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
     return profile.histogram(table(spark, d, "customer"), "c_acctbal").select(F.col("bin").cast("int"), "count")
 
 
-@query(CLAIMS + " SELECT (SELECT count(DISTINCT source_id) FROM ir_elements) AS sources, 0::BIGINT AS failed_sources, count(*) AS rows_emitted, count_if(score < 0.7)::BIGINT AS rows_flagged FROM g")
+@query(STATEMENTS + " SELECT (SELECT count(*) FROM customer) AS sources, (SELECT count_if(c_custkey % 5 = 0) FROM customer)::BIGINT AS failed_sources, count(*) AS rows_emitted, count_if(score < 0.7)::BIGINT AS rows_flagged FROM g")
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
-    outcomes = _elements(spark, d).select("source_id").distinct().withColumn("error", F.lit(None).cast("string"))
-    scored = ground.score_cells(_claims(spark, d), ground.source_text(_elements(spark, d)), {"original_value": F.col("original_value")}, exact_only=True)
-    return profile.corpus_summary(outcomes, ground.flag_ungrounded(scored, ["original_value"]))
+    outcomes = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.when(F.col("c_custkey") % 5 == 0, "unreadable").alias("error"))
+    return profile.corpus_summary(outcomes, ground.flag_ungrounded(_scored_statements(spark, d), ["claim"]))
 
 
 @query()
@@ -558,15 +594,23 @@ def compose_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS cell, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+    WITH RECURSIVE e AS (
+        SELECT 'c' || c_custkey AS cell, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+        UNION ALL SELECT 'c' || c_custkey, 'c' || (c_custkey - 1) FROM customer WHERE c_custkey % 3 <> 0
+        UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 1) FROM nation WHERE n_nationkey % 4 = 0),
     t(cell, cur) AS (SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer UNION SELECT t.cell, e.parent FROM t JOIN e ON e.cell = t.cur)
     SELECT cell, cur AS origin FROM t WHERE cur NOT IN (SELECT cell FROM e)"""
 )
 def resolve_origins(spark: SparkSession, d: str) -> DataFrame:
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    """Customers from nations from regions, and from the customers and nations beside them: many parents, cycles, a parent that is stored nowhere."""
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    edge = lambda df, cell, parent: df.select(cell.alias("cell"), parent.alias("parent"))
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    edges = c.select(name("c", "c_custkey").alias("cell"), name("n", "c_nationkey").alias("parent")).unionByName(n.select(name("n", "n_nationkey").alias("cell"), name("r", "n_regionkey").alias("parent")))
-    return lineage.resolve_origins(edges, c.select(name("c", "c_custkey").alias("cell")))
+    ck, nk = F.col("c_custkey"), F.col("n_nationkey")
+    edges = edge(c, name("c", ck), name("n", F.col("c_nationkey"))).unionByName(edge(n, name("n", nk), name("r", F.col("n_regionkey"))))
+    edges = edges.unionByName(edge(c.filter(ck % 3 != 0), name("c", ck), name("c", ck - 1)))
+    edges = edges.unionByName(edge(n, name("n", nk), name("n", nk))).unionByName(edge(n.filter(nk % 4 == 0), name("n", nk), name("n", nk + 1)))
+    return lineage.resolve_origins(edges, c.select(name("c", ck).alias("cell")))
 
 
 @query("""SELECT c_custkey, unnest(['c_custkey', 'c_name', 'c_mktsegment', 'c_acctbal']) AS "column", 'nation/' || c_nationkey AS source, false AS broken FROM customer""")
@@ -581,9 +625,13 @@ def lineage_broken(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", "_lineage.row_flagged", "_lineage.lineage_broken", broken.alias("broken_cells"))
 
 
-@query("SELECT * FROM (VALUES ('survival', 0::BIGINT), ('bounds', 0::BIGINT)) t(rule, \"rows\")")
+@query("SELECT 'survival' AS rule, count_if(c_custkey % 3 = 0)::BIGINT AS \"rows\" FROM customer UNION ALL SELECT 'bounds', count_if(c_acctbal > 5000)::BIGINT FROM customer")
 def conformance_violations(spark: SparkSession, d: str) -> DataFrame:
-    return lineage.conformance_violations(_customers(spark, d), "c_custkey", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
+    """A stage that loses the name's place in every third row and scores rows by their balance, which may be above 1."""
+    cells = F.transform_values("_lineage.cells", lambda k, v: F.when((k == "c_name") & (F.col("c_custkey") % 3 == 0), v.withField("locations", F.array().cast(f"array<{lineage.LOCATION}>"))).otherwise(v))
+    scored = F.transform_values(cells, lambda k, v: v.withField("faithfulness", F.greatest(F.lit(0.0), F.col("c_acctbal") / 5000)))
+    spoiled = _customers(spark, d).withColumn("_lineage", F.col("_lineage").withField("cells", scored))
+    return lineage.conformance_violations(spoiled, "c_custkey", ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"])
 
 
 # review
@@ -633,7 +681,7 @@ def emit_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
 def emit_parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/emit_parquet_roundtrip"
+    path = scratch(spark, "emit_parquet_roundtrip")
     export.write_export(_customers(spark, d), path, "parquet")
     return spark.read.parquet(path).drop("_lineage")
 
@@ -645,14 +693,14 @@ def emit_sql_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
 def export_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/export_csv_roundtrip"
+    path = scratch(spark, "export_csv_roundtrip")
     export.write_export(table(spark, d, "nation").select("n_nationkey", "n_name"), path, "csv")
     return spark.read.option("header", "true").option("escape", '"').csv(path)
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def export_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/export_json_roundtrip"
+    path = scratch(spark, "export_json_roundtrip")
     export.write_export(table(spark, d, "nation").select("n_nationkey", "n_name"), path, "json")
     return spark.read.schema("n_nationkey bigint, n_name string").json(path)
 
@@ -677,7 +725,7 @@ _sql("sql_source_agg", ["lineitem"], "SELECT l_returnflag, l_linestatus, sum(l_q
 _sql("sql_source_window", ["orders"], "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM {orders}")
 _sql("sql_source_topk", ["customer"], "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
 _sql("sql_source_setops", ["customer", "supplier"], "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey AS k FROM {supplier}")
-_sql("sql_source_semi_anti", ["customer", "orders"], "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+_sql("sql_source_semi_anti", ["customer", "orders"], "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000) AND c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F')")
 _sql("sql_source_rollup", ["orders"], "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_source_cte", ["part"], "WITH p AS (SELECT p_brand, avg(p_retailprice) AS price FROM {part} GROUP BY p_brand) SELECT p_brand, round(price, 4) AS price FROM p WHERE price > (SELECT avg(p_retailprice) FROM {part})")
 
@@ -712,7 +760,11 @@ def pdf_word_tol(spark: SparkSession, d: str) -> DataFrame:
     return geometry.word_tolerance(glyphs, ["page_id"]).select("page_id", F.round("tolerance", 6).alias("tolerance"))
 
 
-@query()
+@query(
+    """
+    WITH w AS (SELECT c_nationkey AS page_id, c_name, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 2 AS side, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+    SELECT page_id, CASE WHEN n >= 60 THEN side ELSE 0 END::INT AS para, string_agg(c_name, ' ' ORDER BY c_custkey) AS text FROM w GROUP BY ALL"""
+)
 def pdf_page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name")
     at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
@@ -720,4 +772,29 @@ def pdf_page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_nationkey").alias("page_id"), F.col("c_name").alias("text"), F.when(F.col("i") % 2 == 0, 50.0).otherwise(320.0).alias("x0"), F.when(F.col("i") % 2 == 0, 250.0).otherwise(550.0).alias("x1"),
         (F.floor(F.col("i") / 2) * 12.0).alias("top"), (F.floor(F.col("i") / 2) * 12.0 + 10).alias("bottom"), F.lit(600.0).alias("page_width"),
     )
-    return geometry.page_paragraphs(words).select("page_id", "para", F.length("text").alias("letters"))
+    return geometry.page_paragraphs(words).select("page_id", "para", "text")
+
+
+@query("SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation UNION ALL SELECT '| n_nationkey | n_name |' UNION ALL SELECT '| --- | --- |'")
+def export_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of an exported Markdown table: one file here, so one header."""
+    path = scratch(spark, "export_markdown")
+    export.write_export(table(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1), path, "markdown")
+    return spark.read.text(path).select(F.explode(F.split("value", "\n")).alias("line"))
+
+
+@query("SELECT 'c_acctbal' AS \"column\", count(*) AS \"rows\", count(c_acctbal) AS non_null, 'numeric' AS kind, 10::BIGINT AS shown FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(c_mktsegment), 'categorical', least(10, count(DISTINCT c_mktsegment)) FROM customer")
+def result_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The profiles of a result's page: a row a column, with the number of bars that it shows."""
+    from cellwright.plans.executor import result_payload as payload
+
+    found = payload(table(spark, d, "customer").select("c_acctbal", "c_mktsegment"))["profiles"]
+    return spark.createDataFrame([(p["column"], p["rows"], p["non_null"], p["kind"], len(p["values"])) for p in found], "column string, rows bigint, non_null bigint, kind string, shown bigint")
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name::VARCHAR AS n_name FROM nation")
+def sink_sql_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table written through the SQL sink, all columns as text, and read back by the SQL source."""
+    path = scratch(spark, "sink_sql_table")
+    export.write_sql(table(spark, d, "nation").select("n_nationkey", "n_name"), f"sink_{path.rpartition('-')[2]}", "overwrite", path=path)
+    return spark.read.parquet(path)

@@ -68,6 +68,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, of this session alone; it is deleted when the session's program ends."""
+    path = f"{shared_dir(spark)}/cellwright-{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 class Grown:
     """A frame that grows by what is added to it, kept as Parquet in the shared folder: one folder, however many parts."""
 

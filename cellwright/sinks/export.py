@@ -67,11 +67,11 @@ def write_export(df: DataFrame, path: str, declared: str | None = None, include_
     return kind
 
 
-def write_sql(df: DataFrame, table: str, mode: str = "append", jdbc: dict[str, str] | None = None) -> None:
-    """All columns as text into a table of the catalog or, with ``jdbc`` options, of a database."""
+def write_sql(df: DataFrame, table: str, mode: str = "append", jdbc: dict[str, str] | None = None, path: str | None = None) -> None:
+    """All columns as text into a table of the catalog, its files at ``path`` if given, or with ``jdbc`` options of a database."""
     text = as_text(emit(df))
     if jdbc is None:
-        text.write.mode(mode).saveAsTable(table)
+        (text.write.option("path", path) if path else text.write).mode(mode).saveAsTable(table)
     else:
         text.write.format("jdbc").options(**jdbc).option("dbtable", table).mode(mode).save()
 
