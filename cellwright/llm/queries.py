@@ -48,11 +48,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least 12 words of an item within 15 places, up to 3 of them replaced."""
+    return leaks.proximity_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_documents(table(spark, d, "documents")).filter("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_parties, p4_found, p4_redacted, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_parties, p4_found, p4_redacted, p6_found, p7_ids, p8_found, p8_near, p9_found)}
 ORACLES = {
     "p6_found": r"""
         WITH k AS (SELECT dupe_id, regexp_replace(lower(name), '[^\p{L}\p{N}]+', '', 'g') AS a,

@@ -141,6 +141,41 @@ def test_proximity(spark):
     assert {r.doc_id for r in leaks.leaked_items(docs, items, least=10).collect()} == {1}
 
 
+def test_proximity_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(3, 20))]) for i in range(12)]
+    docs = []
+    for d in range(90):
+        text = rng.choices(vocabulary, k=rng.randint(0, 20))
+        source = items[rng.randrange(12)][1]
+        at = rng.randrange(len(source))
+        text[3:3] = [w if rng.random() < 0.8 else "other" for w in source[at : at + rng.randint(3, 12)]]
+        docs.append((d, text))
+    docs.append((500, ["pad"] * 3000 + items[0][1]))
+
+    def near(doc, item, least, slack):
+        for k in range(-len(item), len(doc)):
+            same = [0 <= k + p < len(doc) and doc[k + p] == w for p, w in enumerate(item)]
+            if any(sum(same[p : p + least + slack]) >= least for p in range(len(item))):
+                return True
+        return False
+
+    D = spark.createDataFrame([(d, " ".join(t)) for d, t in docs] + [(900, None), (901, "")], "doc_id bigint, text string")
+    I = spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(90, None)], "item_id bigint, text string")  # noqa: E741
+    for least, slack in ((4, 1), (6, 2), (5, 0)):
+        want = {(d, i) for d, t in docs for i, w in items if near(t, w, least, slack)}
+        got = {(r.doc_id, r.item_id) for r in leaks.proximity_matches(D, I, least=least, slack=slack).collect()}
+        assert got == want and want
+    # the same without a broadcast: anchors and vocabulary beyond the limit
+    monkeypatch.setattr(leaks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(leaks, "TERMS", 7)
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(D, I, least=5).collect()} == want
+    runs = {(r.doc_id, r.item_id): r.longest_run for r in leaks.leaked_items(D, I, least=3).collect()}
+    assert runs[500, 0] == len(items[0][1])
+    assert leaks.proximity_matches(D.filter("false"), I).count() == 0
+
+
 # stuffed pages
 
 
