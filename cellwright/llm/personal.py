@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,7 +25,7 @@ from cellwright.llm.names import NICKNAMES
 from cellwright.session import staged
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Most candidates that the classifier is trained on, a kind; the smallest hashes of their texts, so no choice of place.
+#: Most distinct candidates that the classifier is trained on, a kind: those of the smallest hashes, with their numbers.
 TRAIN_ROWS = 6_000
 #: Length of the classifier's hashed feature vector.
 FEATURES = 4096
@@ -129,10 +130,42 @@ LEFT_WORDS = regex.compile(r"[\p{L}/@]+|[^\s\p{L}\d]")
 RIGHT_WORDS = regex.compile(r"[\p{L}/@]+|\d+|[^\s\p{L}\d]")
 
 
-def _name_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Two words, two with an initial, an initial with a word, or family name, comma, given name: the likely shapes."""
+#: Last words of what :data:`STRONG_BEFORE` finds, titles aside: only behind these it is asked.
+CUE_ENDS = frozenset("dear attn attention cc ring ask for by to person was kontakt is payee applicant o a chez ltd inc gmbh sa bv co corp llc".split())
+#: Most words of a name whose first is a known given name.
+MOST_NAME_WORDS = 6
+
+
+class Taken:
+    """Stretches of a text, to ask whether a span meets one, in time that grows with their logarithm."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for s, e in sorted(spans):
+            if self.end and s < self.end[-1]:
+                self.end[-1] = max(self.end[-1], e)
+            else:
+                self.start.append(s)
+                self.end.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        i = bisect_right(self.end, s)
+        return i < len(self.start) and self.start[i] < e
+
+    def holds(self, s: int, e: int) -> bool:
+        i = bisect_right(self.start, s) - 1
+        return i >= 0 and e <= self.end[i]
+
+
+def _name_spans(text: str, taken: list[tuple[int, int]], numbers: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Two words, two with an initial, an initial with a word, or family name, comma, given name: the likely shapes.
+
+    Behind a known given name also three and more words with capitals, as names of several given or family names are.
+    """
     words = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
-    free = [not any(s < e2 and s2 < e for s2, e2 in taken) for s, e, _ in words]
+    busy, numbered = Taken(taken), Taken(list(numbers))
+    free = [not busy.meets(s, e) for s, e, _ in words]
     out = []
 
     def initial(w: str) -> bool:
@@ -152,7 +185,9 @@ def _name_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]
         given = w.rstrip(".").lower() in GIVEN
         cue = False
         if not w[0].isupper() and not given:
-            cue = i == 0 or text[max(0, s - 2) : s].strip(" ") in ("", ".", ";", "\n", ".\n") or bool(STRONG_BEFORE.search(text[max(0, s - 40) : s]))
+            last = words[i - 1][2].rstrip(".").lower() if i else ""
+            cue = i == 0 or text[max(0, s - 2) : s].strip(" ") in ("", ".", ";", "\n", ".\n")
+            cue = cue or ((last in CUE_ENDS or IS_TITLE.fullmatch(last) is not None) and STRONG_BEFORE.search(text[max(0, s - 40) : s]) is not None)
         if not (w[0].isupper() or given or cue or (i + 1 < n and gaps[0] == ", " and words[i + 1][2].lower() in GIVEN)):
             continue
         if i + 1 < n and free[i + 1] and gaps[0] in (" ", "  "):
@@ -165,6 +200,22 @@ def _name_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]
                 out.append((s, _end(words[i + 1])))
             if initial(w) and initial(w2) and i + 2 < n and gaps[1] == " " and named(words[i + 2][2]):
                 out.append((s, _end(words[i + 2])))
+        if given and w[0].isupper() and not w.endswith("."):
+            # every longer name that starts here, up to the first word that cannot be part of it; behind a family name
+            # a given name is another person's
+            leading = True
+            for j in range(i + 1, min(n, i + MOST_NAME_WORDS)):
+                word = words[j][2]
+                plain = word.rstrip(".").lower()
+                if plain in GIVEN and not leading:
+                    break
+                leading = plain in GIVEN
+                if not free[j] or numbered.meets(words[j][0], words[j][1]) or text[words[j - 1][1] : words[j][0]] != " " or not word[0].isupper() or initial(word) or plain in ORG_WORDS or (plain in COMMON and plain not in GIVEN):
+                    break
+                if j > i + 1:
+                    out.append((s, _end(words[j])))
+                if word.endswith("."):
+                    break
         if i + 1 < n and free[i + 1] and gaps[0] == ", " and named(w) and named(words[i + 1][2]):
             stop = _end(words[i + 1])
             if i + 2 < n and free[i + 2] and gaps[1] == " " and initial(words[i + 2][2]):
@@ -255,27 +306,40 @@ COMMON = frozenset(
 )
 
 
+#: Digits that every candidate of a kind has, and what every e-mail address has.
+LEAST_DIGITS = {"email": 0, "id_number": 6, "phone": 9, "address": 1}
+AT = regex.compile(r"@|[(\[{ ]\s?at\s?[)\]}]|\sat\s", regex.I)
+
+
 def candidates(text: str | None, field: str = "") -> list[tuple[str, int, int, list[int], list[int]]]:
     """Candidate spans of a text: kind, start, end, votes and hashed features."""
     if not text:
         return []
     out = []
     taken: list[tuple[int, int]] = []
+    mails = Taken([])
+    digits = sum(map(str.isdigit, text))
     for kind in ("email", "id_number", "phone", "address"):
+        # no pattern is tried on texts that lack what each of its matches has
+        if digits < LEAST_DIGITS[kind] or (kind == "email" and not AT.search(text)):
+            continue
         for m in CANDIDATES[kind].finditer(text):
             s, e = m.span()
             if kind == "phone" and text[s] == "(" and ")" not in text[s:e]:
                 s += 1
             if kind == "phone" and text[e - 1] == ")":
                 e -= 1
-            if kind == "phone" and any(s2 <= s and e <= e2 for s2, e2 in taken if text[s2:e2].count("@")):
+            if kind == "phone" and mails.holds(s, e):
                 continue
             out.append((kind, s, e))
             if kind in ("email", "address"):
                 taken.append((s, e))
+        if kind == "email":
+            mails = Taken([x for x in taken if "@" in text[slice(*x)]])
     # words of notes alone are never a name
-    out += [("name", s, e) for s, e in _name_spans(text, taken) if any(w not in COMMON or w in GIVEN for w in _parts(text[s:e]) if len(w) > 1)]
-    return [(k, s, e, votes(k, text, s, e, field), features(k, text, s, e, field)) for k, s, e in out]
+    out += [("name", s, e) for s, e in _name_spans(text, taken, [x[1:] for x in out if x[0] == "id_number"]) if any(w not in COMMON or w in GIVEN for w in _parts(text[s:e]) if len(w) > 1)]
+    voted = [(k, s, e, votes(k, text, s, e, field)) for k, s, e in out]
+    return [(k, s, e, v, features(k, text, s, e, field, v)) for k, s, e, v in voted]
 
 
 def _shape(span: str) -> str:
@@ -283,14 +347,15 @@ def _shape(span: str) -> str:
     return "".join(c for i, c in enumerate(kinds) if not i or kinds[i - 1] != c)
 
 
-def features(kind: str, text: str, s: int, e: int, field: str) -> list[int]:
-    """Hashed features of a span: its shape, its words' ends and the words around it, each with its kind."""
+def features(kind: str, text: str, s: int, e: int, field: str, voted: list[int]) -> list[int]:
+    """Hashed features of a span: its shape, its words' ends, the words around it and each labeler's vote, with its kind."""
     span = text[s:e]
     left = [w.lower() for w in LEFT_WORDS.findall(text[max(0, s - 32) : s])[-3:]]
     right = [w.lower() for w in RIGHT_WORDS.findall(text[e : e + 24])[:2]]
     right = ["9" if w.isdigit() else w for w in right]
     words = _parts(span)
     raw = ["bias", "shape:" + _shape(span)[:24], "field:" + field, "l1:" + (left[-1] if left else "^"), "l2:" + " ".join(left[-2:]), "r1:" + (right[0] if right else "$"), "r2:" + " ".join(right)]
+    raw += [f"vote{i}:{v}" for i, v in enumerate(voted)]
     if kind == "name":
         raw += ["given" if any(w in GIVEN for w in words) else "unknown", "first:" + words[0], "last3:" + words[-1][-3:], "common" if any(w in COMMON and len(w) > 1 for w in words) else "rare"]
         raw += ["org" if any(w in ORG_WORDS for w in words) else "noorg", "afterorg" if right and right[0] in ORG_WORDS else "", "comma" if "," in span else ""]
@@ -346,18 +411,23 @@ def reliabilities(patterns: list[tuple[str, str, int]], rounds: int = 60) -> dic
     return out
 
 
-def train(rows: list[tuple[list[int], float]], rounds: int = 150, rate: float = 0.5, shrink: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic classifier over hashed features, by full gradient steps with momentum."""
+def train(rows: list[tuple[list[int], float, int]], rounds: int = 150, rate: float = 0.5, shrink: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic classifier over hashed features, by full gradient steps with momentum.
+
+    A row is a distinct candidate: its features, its probability of being true, and how many candidates it stands for.
+    """
     weights, speed = np.zeros(FEATURES), np.zeros(FEATURES)
     if not rows:
         return weights
-    at = np.concatenate([np.full(len(f), i) for i, (f, _) in enumerate(rows)])
-    feats = np.concatenate([np.array(f, int) for f, _ in rows])
-    goal = np.array([y for _, y in rows])
-    seen = np.bincount(feats, minlength=FEATURES) + 1.0
+    at = np.concatenate([np.full(len(f), i) for i, (f, _, _) in enumerate(rows)])
+    feats = np.concatenate([np.array(f, int) for f, _, _ in rows])
+    goal = np.array([y for _, y, _ in rows])
+    times = np.array([n for _, _, n in rows], float)
+    times /= times.mean()
+    seen = np.bincount(feats, times[at], minlength=FEATURES) + 1.0
     for _ in range(rounds):
         score = np.bincount(at, weights[feats], minlength=len(rows))
-        error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - goal
+        error = times * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - goal)
         slope = np.bincount(feats, error[at], minlength=FEATURES) / np.sqrt(seen * len(rows)) + shrink * weights
         speed = 0.9 * speed - rate * slope
         weights = weights + speed
@@ -366,12 +436,21 @@ def train(rows: list[tuple[list[int], float]], rounds: int = 150, rate: float =
 
 def choose(spans: list[tuple[float, int, int, str]]) -> list[tuple[int, int, str]]:
     """A span within a longer one of its kind goes; of other overlapping spans the most probable, then the longer stays."""
+    reach: dict[str, tuple[int, int]] = {}
+    whole = []
+    for x in sorted(spans, key=lambda x: (x[1], -x[2])):
+        _, s, e, kind = x
+        if kind not in reach or reach[kind][1] < e or reach[kind] == (s, e):
+            reach[kind] = (s, e)
+            whole.append(x)
+    starts: list[int] = []
     kept: list[tuple[int, int, str]] = []
-    spans = [x for x in spans if not any(y[3] == x[3] and y[1] <= x[1] and x[2] <= y[2] and y[1:3] != x[1:3] for y in spans)]
-    for _, s, e, kind in sorted(spans, key=lambda x: (-round(x[0], 2), x[1] - x[2], x[1])):
-        if all(e <= s2 or e2 <= s for s2, e2, _ in kept):
-            kept.append((s, e, kind))
-    return sorted(kept)
+    for _, s, e, kind in sorted(whole, key=lambda x: (-round(x[0], 2), x[1] - x[2], x[1])):
+        i = bisect_right(starts, s)
+        if (i == 0 or kept[i - 1][1] <= s) and (i == len(kept) or e <= kept[i][0]):
+            starts.insert(i, s)
+            kept.insert(i, (s, e, kind))
+    return kept
 
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -397,9 +476,10 @@ def personal_spans(rows: DataFrame) -> DataFrame:
     spans = proposed.select(F.explode("spans").alias("c")).select("c.*")
     counts = spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
     truth = reliabilities([(r["kind"], r["votes"], r["n"]) for r in counts])
-    sample = spans.withColumn("h", F.xxhash64("feats", "votes", "s"))
-    chosen = [r for k in KINDS for r in sample.filter(F.col("kind") == k).orderBy("h", "s", "e").limit(TRAIN_ROWS).select("kind", "votes", "feats").collect()]
-    weights = train([(r["feats"], truth[r["kind"], r["votes"]]) for r in chosen])
+    # equal candidates are one with a weight, so that no span fills the sample however often it stands in the texts
+    distinct = staged(spans.groupBy("kind", "votes", "feats").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("kind", "feats", "votes")))
+    chosen = [r for k in KINDS for r in distinct.filter(F.col("kind") == k).orderBy("h", "votes").limit(TRAIN_ROWS).collect()]
+    weights = train([(r["feats"], truth[r["kind"], r["votes"]], r["n"]) for r in chosen])
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("found", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,8 +490,7 @@ def personal_spans(rows: DataFrame) -> DataFrame:
                 for c in own or []:
                     score = float(weights[c["feats"]].sum())
                     p = 1 / (1 + np.exp(-max(min(score, 30), -30)))
-                    # the classifier generalises over patterns that the labelers rarely meet; both must not disagree
-                    p = (p + truth.get((c["kind"], c["votes"]), p)) / 2
+                    # the labelers' votes taught the classifier, which alone decides
                     if p > 0.5:
                         good.append((p, c["s"], c["e"], c["kind"]))
                 kept = choose(good)

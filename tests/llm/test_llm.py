@@ -395,3 +395,22 @@ def test_reliabilities():
 
 def test_choose():
     assert personal.choose([(0.9, 0, 5, "name"), (0.95, 2, 5, "name"), (0.8, 4, 9, "address")]) == [(0, 5, "name")]
+    rng = random.Random(11)
+    for _ in range(500):
+        spans = [(rng.random(), s, s + rng.randint(1, 5), rng.choice("ab")) for s in rng.choices(range(15), k=rng.randint(0, 8))]
+        whole = [x for x in spans if not any(y[3] == x[3] and y[1] <= x[1] and x[2] <= y[2] and y[1:3] != x[1:3] for y in spans)]
+        kept = []
+        for _, s, e, kind in sorted(whole, key=lambda x: (-round(x[0], 2), x[1] - x[2], x[1])):
+            if all(e <= s2 or e2 <= s for s2, e2, _ in kept):
+                kept.append((s, e, kind))
+        assert personal.choose(spans) == sorted(kept)
+    many = [(0.9, 3 * i, 3 * i + 2, "name") for i in range(50_000)]
+    assert len(personal.choose(many)) == 50_000
+
+
+def test_names_of_several_words():
+    found = lambda text: {text[s:e] for k, s, e, _, _ in personal.candidates(text) if k == "name"}
+    assert "Anna Maria Schmidt" in found("Anna Maria Schmidt signed.")
+    assert "José Luis García Pérez" in found("Signed by José Luis García Pérez, Friday")
+    assert not any(len(x.split()) > 2 for x in found("Anna Kralska Robert Stimska") | found("Anna Kralska Packaging Group") | found("Payee Joe Fivolska QQ 12 34 56 A"))
+    assert max(len(x.split()) for x in found("Anna " * 3000)) == personal.MOST_NAME_WORDS
