@@ -4,7 +4,9 @@ Values are generalised to character-class masks (runs of digits become 9, of cap
 masks that hold a least share of all values are the column's dominant patterns, a number that is bounded by that
 share; all others are rare-mask violations.  A load departs from the others if the divergence of its distribution of
 masks or of magnitudes from the loads' median distribution, or its share of distinct values, is far outside what the
-other loads show.  One pass over the rows, pre-aggregated before it is shuffled.
+other loads show.  The rows are read once, into counts of each load's distinct values, combined before they are
+shuffled; masks, sizes, profiles and distinct counts are all taken from these, so a value is judged once a load however
+often it stands there.
 """
 
 from __future__ import annotations
@@ -20,11 +22,9 @@ from cellwright.session import staged
 #: Masks of at least this share of a column's values are dominant; so there are at most 500 of them.
 DOMINANT_SHARE = 0.002
 #: A load departs if its divergence is above this, above SPREAD robust deviations and above the noise of its size.
-LEAST_DIVERGENCE, SPREAD = 0.02, 8.0
+LEAST_DIVERGENCE, SPREAD = 0.01, 8.0
 #: A share of distinct values departs if it is this many times smaller or larger than expected at the load's size.
 DISTINCT_RATIO = 1.25
-#: Relative error of the distinct counts (HyperLogLog++).
-DISTINCT_ERROR = 0.01
 
 
 ASCII = "^[\\x00-\\x7f]*$"
@@ -71,41 +71,45 @@ def magnitude(value: Column) -> Column:
     )
 
 
-def load_profile(rows: DataFrame, load: str, columns: list[str], numeric: tuple[str, ...] = ()) -> DataFrame:
-    """One row a load and column: rows, nulls, blanks, distinct values (approximate), lengths, and the range of numbers.
+def distinct_values(rows: DataFrame, load: str, columns: list[str], numeric: tuple[str, ...] = ()) -> DataFrame:
+    """``load_id, column_name, text, n, shortest, longest, mask, size, number`` of each load's distinct values.
 
-    NULL loads are a load of their own; an empty table has no profile.
+    Values that differ only in spaces at their ends are one, NULL is one of its own.  ``size`` and ``number`` are NULL
+    where a column is not among ``numeric``.
     """
-    parts = []
-    for c in columns:
-        v = F.col(c)
-        text = F.trim(v)
-        number = _number(v) if c in numeric else F.lit(None).cast("double")
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.count("*").alias("n"),
-                F.count_if(v.isNull()).alias("nulls"),
-                F.count_if(text == "").alias("blanks"),
-                F.approx_count_distinct(text, DISTINCT_ERROR).alias("distinct"),
-                F.min(F.length(v)).alias("shortest"),
-                F.max(F.length(v)).alias("longest"),
-                F.count(number).alias("numbers"),
-                F.min(number).alias("least"),
-                F.max(number).alias("most"),
-                F.avg(number).alias("mean"),
-            )
-        )
-    grouped = rows.groupBy(F.col(load).alias("load_id")).agg(F.array(*parts).alias("parts"))
-    return grouped.select("load_id", F.inline("parts"))
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.trim(c).alias("text"), F.length(c).alias("length")) for c in columns]
+    counted = (
+        rows.select(F.col(load).alias("load_id"), F.inline(F.array(*pairs)))
+        .groupBy("load_id", "column_name", "text")
+        .agg(F.count("*").alias("n"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
+    )
+    among = F.col("column_name").isin(*numeric) if numeric else F.lit(False)
+    text = F.col("text")
+    return counted.withColumns({"mask": mask(text), "size": F.when(among, magnitude(text)), "number": F.when(among, _number(text))})
+
+
+def load_profile(rows: DataFrame, load: str, columns: list[str], numeric: tuple[str, ...] = (), values: DataFrame | None = None) -> DataFrame:
+    """One row a load and column: rows, nulls, blanks, distinct values that are not blank, lengths, and the range of numbers.
+
+    All counts are exact.  NULL loads are a load of their own; an empty table has no profile.  ``values`` is what
+    :func:`distinct_values` gives, if it is at hand.
+    """
+    values = distinct_values(rows, load, columns, numeric) if values is None else values
+    n, number, text = F.col("n"), F.col("number"), F.col("text")
+    times = lambda where: F.coalesce(F.sum(F.when(where, n)), F.lit(0)).cast("bigint")
+    return values.groupBy("load_id", "column_name").agg(
+        F.sum("n").alias("n"), times(text.isNull()).alias("nulls"), times(text == "").alias("blanks"), F.count_if(text != "").alias("distinct"),
+        F.min("shortest").alias("shortest"), F.max("longest").alias("longest"), times(number.isNotNull()).alias("numbers"),
+        F.min("number").alias("least"), F.max("number").alias("most"), (F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))).alias("mean"),
+    )
 
 
-def value_classes(rows: DataFrame, load: str, columns: list[str], numeric: tuple[str, ...] = ()) -> DataFrame:
+def value_classes(rows: DataFrame, load: str, columns: list[str], numeric: tuple[str, ...] = (), values: DataFrame | None = None) -> DataFrame:
     """Counts of each load's masks and magnitudes: ``load_id, column_name, feature, class, n``."""
-    features = [F.struct(F.lit(c).alias("column_name"), F.lit("mask").alias("feature"), mask(F.col(c)).alias("class")) for c in columns]
-    features += [F.struct(F.lit(c).alias("column_name"), F.lit("size").alias("feature"), magnitude(F.col(c)).alias("class")) for c in numeric]
-    classed = rows.select(F.col(load).alias("load_id"), F.inline(F.array(*features))).filter(F.col("class").isNotNull())
-    return classed.groupBy("load_id", "column_name", "feature", "class").agg(F.count("*").alias("n"))
+    values = distinct_values(rows, load, columns, numeric) if values is None else values
+    features = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("class")) for c in ("mask", "size")])
+    classed = values.select("load_id", "column_name", "n", F.inline(features)).filter(F.col("class").isNotNull())
+    return classed.groupBy("load_id", "column_name", "feature", "class").agg(F.sum("n").alias("n"))
 
 
 def dominant_classes(classes: DataFrame) -> DataFrame:
@@ -163,11 +167,12 @@ def mask_violations(classes: DataFrame) -> DataFrame:
 def full_profile(rows: DataFrame, load: str, columns: list[str], numeric: tuple[str, ...] = ()) -> DataFrame:
     """:func:`load_profile` with each load's mask and size divergence and its share of rare masks and sizes."""
     # within a struct, a NULL load equals itself and so is compared like the others
-    far = divergences(staged(value_classes(rows.withColumn(load, F.struct(F.col(load).alias("id"))), load, columns, numeric)))
+    values = staged(distinct_values(rows.withColumn(load, F.struct(F.col(load).alias("id"))), load, columns, numeric))
+    far = divergences(staged(value_classes(rows, load, columns, numeric, values)))
     one = lambda feature, c: F.max(F.when(F.col("feature") == feature, F.col(c)))
     parts = [one(f, c).alias(f"{f}_{c}") for f in ("mask", "size") for c in ("divergence", "rare_share")]
     far = far.groupBy(F.col("load_id.id").alias("l"), F.col("column_name").alias("c")).agg(*parts)
-    profile = load_profile(rows, load, columns, numeric)
+    profile = load_profile(rows, load, columns, numeric, values).withColumn("load_id", F.col("load_id.id"))
     return profile.join(far, F.col("load_id").eqNullSafe(F.col("l")) & (F.col("column_name") == F.col("c")), "left").drop("l", "c")
 
 
@@ -185,7 +190,8 @@ def departing_loads(rows: DataFrame, load: str, columns: list[str], numeric: tup
     A load of few rows needs a larger divergence, as chance alone gives it one.  With fewer than three loads there is
     nothing to compare and nothing departs.
     """
-    classes = staged(value_classes(rows, load, columns, numeric))
+    values = staged(distinct_values(rows, load, columns, numeric))
+    classes = staged(value_classes(rows, load, columns, numeric, values))
     by = ["column_name", "feature"]
     # written once: the medians read it twice more, and the driver need not plan all of it three times
     far = _robust(staged(divergences(classes)), by, "divergence")
@@ -195,7 +201,7 @@ def departing_loads(rows: DataFrame, load: str, columns: list[str], numeric: tup
         "load_id", "column_name", F.concat(F.col("feature"), F.lit(" distribution")).alias("reason"), F.col("divergence").alias("score")
     )
     # distinct values against what a load of this size has: log(distinct) is nearly linear in log(n) between loads
-    profile = staged(load_profile(rows, load, columns, numeric)).filter("n > nulls + blanks")
+    profile = staged(load_profile(rows, load, columns, numeric, values)).filter("n > nulls + blanks")
     counts = profile.select("load_id", "column_name", F.log(F.col("n") - F.col("nulls") - F.col("blanks")).alias("x"), F.log(F.col("distinct").cast("double")).alias("y"))
     counts = staged(counts)
     ratio = _robust(counts.withColumn("d", F.col("y") - F.col("x")), ["column_name"], "d").drop("mad")

@@ -26,10 +26,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Nulls, blanks and lengths of each load; the exact part of the profile."""
+    """Nulls, blanks, distinct values, lengths and ranges of each load."""
     rows = table(spark, d, "invoices").select("load_id", "total", "vendor")
     return quality.load_profile(rows, "load_id", ["total", "vendor"], ("total",)).select(
-        "load_id", "column_name", "n", "nulls", "blanks", "shortest", "longest", "numbers", "least", "most"
+        "load_id", "column_name", "n", "nulls", "blanks", "distinct", "shortest", "longest", "numbers", "least", "most"
     )
 
 
@@ -111,7 +111,7 @@ ORACLES: dict[str, str] = {
     UNION ALL SELECT 'ir_tables', table_id, i, 'column_count' FROM grid WHERE len(r) <> len(h)
     UNION ALL SELECT 'ir_tables', table_id, i, 'value' FROM wrong""",
     "p3_profile": " UNION ALL ".join(
-        f"""SELECT load_id, '{c}' AS column_name, count(*) AS n, count_if({c} IS NULL)::BIGINT AS nulls, count_if(trim({c}) = '')::BIGINT AS blanks, min(length({c}))::INT AS shortest, max(length({c}))::INT AS longest,
+        f"""SELECT load_id, '{c}' AS column_name, count(*) AS n, count_if({c} IS NULL)::BIGINT AS nulls, count_if(trim({c}) = '')::BIGINT AS blanks, count(DISTINCT CASE WHEN trim({c}) <> '' THEN trim({c}) END) AS "distinct", min(length({c}))::INT AS shortest, max(length({c}))::INT AS longest,
         count({x}) AS numbers, min({x}) AS least, max({x}) AS most FROM invoices GROUP BY load_id"""
         for c, x in (("total", f"CASE WHEN regexp_matches(trim(total), '{_TOTAL}') THEN replace(trim(total), ',', '')::DOUBLE END"), ("vendor", "NULL::DOUBLE"))
     ),
