@@ -28,8 +28,6 @@ from cellwright.functions.text import normal_name
 from cellwright.operators.joins import checked_broadcast
 from cellwright.session import staged
 
-#: A column is described by the shares of its values' most common shapes.
-PROFILE_SHAPES = 6
 #: Least overlap of two columns' shapes for one to be the other renamed.
 LEAST_OVERLAP = 0.15
 
@@ -71,7 +69,7 @@ def _grid_schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 name = normal_name(header[start + i])
                 if not name or name in row:  # equal names are one column, its first
                     continue
-                seen = sorted(best.get(base + i, []), key=lambda x: (-x[1], x[0]))[:PROFILE_SHAPES]
+                seen = sorted(best.get(base + i, []), key=lambda x: (-x[1], x[0]))
                 total = sum(n for _, n in best.get(base + i, [])) or 1
                 kind = int(grids.column_type[base + i])
                 row[name] = {
@@ -159,9 +157,9 @@ def _ends(side: str, other: str) -> Column:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    """Shared weight of two shape profiles; NULL where either is missing or empty."""
-    share = lambda x: F.coalesce(F.get(F.filter(b, lambda y: y["shape"] == x["shape"]), F.lit(0))["share"], F.lit(0.0))
-    both = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.least(x["share"], share(x)))
+    """Shared weight of two shape profiles, all shapes of either; NULL where one is missing or empty."""
+    of_b = F.map_from_entries(b)
+    both = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.least(x["share"], F.coalesce(F.try_element_at(of_b, x["shape"]), F.lit(0.0))))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both)
 
 
@@ -191,22 +189,25 @@ def rename_candidates(changed: DataFrame) -> DataFrame:
     )
 
 
-def names_together(schemas: DataFrame) -> DataFrame:
-    """Pairs of names (``lo < hi``) that stand together in some schema and so are two columns.
+def names_together(schemas: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Those pairs of names ``lo < hi`` of ``candidates`` that stand together in some schema and so are two columns.
 
-    Equal sets of names are made one before their pairs are listed.
+    Only names that some step may have renamed are listed, and equal sets of these are made one before their pairs are.
     """
-    sets = schemas.select(F.array_sort(_names("columns")).alias("names")).distinct()
+    asked = candidates.select("lo", "hi").distinct()
+    names = checked_broadcast(staged(asked.select(F.explode(F.array("lo", "hi")).alias("name")).distinct()), 80)
+    each = schemas.select("origin", "feed", "seq_no", F.explode(_names("columns")).alias("name")).join(names, "name", "left_semi")
+    sets = each.groupBy("origin", "feed", "seq_no").agg(F.array_sort(F.collect_set("name")).alias("names")).select("names").distinct().filter(F.size("names") > 1)
     one = sets.select("names", F.explode("names").alias("lo"))
-    pairs = one.select("lo", F.explode("names").alias("hi")).filter("lo < hi")
-    return pairs.distinct()
+    pairs = one.select("lo", F.explode("names").alias("hi")).filter("lo < hi").distinct()
+    return pairs.join(asked, ["lo", "hi"], "left_semi")
 
 
 def renames(schemas: DataFrame, changed: DataFrame) -> DataFrame:
     """``origin, feed, seq_no, old_name, new_name`` of renamed columns, each name used once a step."""
     found = staged(rename_candidates(changed))
     keys = ["lo", "hi"]
-    apart = checked_broadcast(staged(names_together(schemas).join(found.select(*keys).distinct(), keys)), 120)
+    apart = checked_broadcast(staged(names_together(schemas, found)), 120)
     support = checked_broadcast(
         staged(found.filter("same_place and same_type").groupBy(*keys).agg(F.count("*").alias("support"))), 120
     )

@@ -8,6 +8,7 @@ all records at once.  Reasons, in this order: ``quoting``, ``column_count``, ``v
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,7 @@ class RecordIndex:
         end = self.text_end[records].copy()
         inner = position < count - 1
         end[inner] = self.borders[(first + position)[inner]]
-        raw = self.data.tobytes()
+        raw = self.raw
         out = []
         for s, e in zip(start.tolist(), end.tolist(), strict=True):
             text = raw[s:e]
@@ -88,10 +89,65 @@ class RecordIndex:
             out.append(text.decode("utf-8", "replace"))
         return out
 
+    @cached_property
+    def raw(self) -> bytes:
+        return self.data.tobytes()
+
     def fields(self, record: int) -> list[str]:
         n = int(self.n_fields[record])
         return self.field(np.full(n, record), np.arange(n))
 
+    def all_fields(self, records: np.ndarray) -> pa.ListArray:
+        """All unquoted fields of each of the records."""
+        count = self.n_fields[records]
+        end = np.cumsum(count)
+        values = self.field(np.repeat(records, count), np.arange(end[-1] if len(end) else 0) - np.repeat(end - count, count))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, end).astype(np.int32)), pa.array(values, pa.string()))
+
+
+def record_ends(data: np.ndarray) -> np.ndarray:
+    """Where the records of a file's bytes end, their line breaks included: at breaks that the quotes' parity is even at.
+
+    A quote that is never closed would take the rest of the file with it: then the line in which the quotes went wrong
+    is a record of its own, to be rejected, and the parity begins anew behind it.
+    """
+    found, at = [], 0
+    breaks = (data == LF) | ((data == CR) & (np.append(data[1:], 0) != LF))
+    lines = np.flatnonzero(breaks) + 1
+    while at < len(data):
+        odd = np.cumsum(data[at:] == QUOTE) & 1
+        ends = np.flatnonzero(breaks[at:] & (odd == 0)) + 1 + at
+        found.append(ends)
+        last = int(ends[-1]) if len(ends) else at
+        if last == len(data):
+            break
+        rest = lines[np.searchsorted(lines, last, "right") :]
+        at = int(rest[0]) if len(rest) and odd[-1] else len(data)
+        found.append(np.array([at]))
+    return np.concatenate([*found, np.zeros(0, int)]).astype(np.int64)
+
+
+def _file_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for source, kind, body in zip(b["source_id"].to_pylist(), b["content_type"].to_pylist(), b["content"], strict=True):
+            data = np.frombuffer(body.as_buffer(), np.uint8) if body.is_valid and len(body.as_buffer()) else np.zeros(0, np.uint8)
+            ends = record_ends(data[3:] if data[:3].tobytes() == b"\xef\xbb\xbf" else data) + (3 if data[:3].tobytes() == b"\xef\xbb\xbf" else 0)
+            starts = np.append(3 if data[:3].tobytes() == b"\xef\xbb\xbf" else 0, ends)[: len(ends)]
+            raw = data.tobytes()
+            for first in range(0, len(ends), 10_000):  # a big file is many batches
+                part = [raw[s:e].decode("utf-8", "replace").rstrip("\r\n") for s, e in zip(starts[first : first + 10_000].tolist(), ends[first : first + 10_000].tolist(), strict=True)]
+                n = len(part)
+                yield pa.record_batch([pa.array([source] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(np.arange(first, first + n), pa.int32()), pa.array(part, pa.string())], names=["source_id", "content_type", "line_no", "raw_line"])
+
+
+def file_records(files: DataFrame) -> DataFrame:
+    """``source_id, content_type, line_no, raw_line``: the records of whole delimited files ``source_id, content_type, content``.
+
+    Record ends are located over the file's bytes; a quoted field may hold line breaks.  ``line_no`` counts records,
+    0 is the header.  NULL and empty files have no records; a byte order mark is left out.
+    """
+    return files.select("source_id", "content_type", "content").mapInArrow(_file_records, "source_id string, content_type string, line_no int, raw_line string")
+
 
 def _fails(values: list[str], pattern: str, blank_is_fine: bool) -> np.ndarray:
     text = pc.utf8_trim_whitespace(pa.array(values, pa.string()))
@@ -113,7 +169,7 @@ def _blank_lines(lines: pa.Array) -> np.ndarray:
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         index = RecordIndex(b["raw_line"], _delims(b["content_type"]))
-        names = [[normal_name(x) for x in index.fields(i)] for i in range(b.num_rows)]
+        names = [[normal_name(x) for x in row] for row in index.all_fields(np.arange(b.num_rows)).to_pylist()]
         find = lambda row, name: row.index(name) if name in row else -1
         yield pa.record_batch(
             {
@@ -164,8 +220,10 @@ def _record_reasons(with_fields: bool):
                     reason[rows[_fails(index.field(rows, place[rows]), pattern, blank_is_fine)]] = "value"
             out = {"raw_id": b["raw_id"], "empty": pa.array(blank), "reason": pa.array(reason, pa.string())}
             if with_fields:
-                good = (reason == None) & ~blank  # noqa: E711
-                out["fields"] = pa.array([index.fields(i) if good[i] else None for i in range(b.num_rows)], pa.list_(pa.string()))
+                good = np.flatnonzero((reason == None) & ~blank)  # noqa: E711
+                place = np.full(b.num_rows, -1)
+                place[good] = np.arange(len(good))
+                out["fields"] = index.all_fields(good).take(pa.array(place, mask=place < 0))
             yield pa.record_batch(out)
 
     return run

@@ -126,3 +126,26 @@ def test_loaded(spark, tmp_path):
     }
     failed = {(r.origin, r.record_id, r.row_index) for r in QUERIES["p1_found"](spark, str(tmp_path)).collect()}
     assert failed == {("invoices", 1, 0), ("invoices", 3, 0), ("invoices_raw", 3, 0), *(("ir_tables", 1, i) for i in (3, 4, 5))}
+
+
+def test_record_ends_of_whole_files(spark):
+    body = b'\xef\xbb\xbfinvoice_number,vendor,total\r\nINV-1001,"A ""B""\nC",5\n\nINV-1002,"open,7\nINV-1003,x,8\rINV-1004,y,9'
+    files = spark.createDataFrame([("f", "text/csv", body), ("none", "text/csv", None), ("empty", "text/csv", b"")], "source_id string, content_type string, content binary")
+    rows = {r.line_no: r.raw_line for r in rejects.file_records(files).collect()}
+    assert rows == {0: "invoice_number,vendor,total", 1: 'INV-1001,"A ""B""\nC",5', 2: "", 3: 'INV-1002,"open,7', 4: "INV-1003,x,8", 5: "INV-1004,y,9"}
+    raw = rejects.file_records(files).withColumn("raw_id", rejects.F.col("line_no").cast("bigint"))
+    got = {r.raw_id: (r.reason, r.fields) for r in rejects.parse_records(raw).filter("not empty").collect()}
+    assert got == {1: (None, ["INV-1001", 'A "B"\nC', "5"]), 3: ("quoting", None), 4: (None, ["INV-1003", "x", "8"]), 5: (None, ["INV-1004", "y", "9"])}
+
+
+def test_fields_cost_no_copy_of_the_batch():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    lines = pa.array([f"INV-{i:06d},vendor {i},{i}.50" for i in range(40_000)])
+    began = time.perf_counter()
+    index = rejects.RecordIndex(lines, np.full(len(lines), 44))
+    assert index.all_fields(np.arange(len(lines)))[39_999].as_py() == ["INV-039999", "vendor 39999", "39999.50"]
+    assert time.perf_counter() - began < 5
