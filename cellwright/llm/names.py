@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ LEAST_SIMILARITY = 0.82
 SHORT_WORD, LONG_WORD = 5, 9
 #: Spellings of a party whose pairs one task makes, and pairs of words that are compared at once.
 CHUNK, PAIRS = 500, 200_000
+#: Rows of sorted keys that are compared at once, with the last run as a whole.
+RUN_ROWS = 200_000
 
 # Nicknames and the given names they stand for.
 NICKNAMES = {
@@ -490,20 +493,25 @@ def errors_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table[a_len, b_len, np.arange(len(a))]
 
 
-def alike_pairs(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """:func:`alike` of many pairs of different ``words``, given by their places."""
+def near_pairs(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of different ``words``, given by their places, :func:`alike` may accept: by their typing errors.
+
+    Short words, which must sound the same and may fail by their similarity, are judged in full.
+    """
     out = np.zeros(len(x), bool)
     sizes = np.char.str_len(words)
     for at in np.array_split(np.arange(len(x)), max(1, -(-len(x) // PAIRS))):
         short = np.minimum(sizes[x[at]], sizes[y[at]])
-        at = at[(np.abs(sizes[x[at]] - sizes[y[at]]) <= 2) & (short >= 3)]
+        open_ = (np.abs(sizes[x[at]] - sizes[y[at]]) <= 2) & (short >= 3)
+        at, short = at[open_], short[open_]
         if not len(at):
             continue
         used = np.unique(np.concatenate([x[at], y[at]]))
         letters = _letters(words[used].tolist())
         found = errors_of(letters[np.searchsorted(used, x[at])], letters[np.searchsorted(used, y[at])])
-        close = at[found <= 2]
-        out[close] = [alike(a, b) for a, b in zip(words[x[close]].tolist(), words[y[close]].tolist(), strict=True)]
+        out[at] = found <= np.where(short >= LONG_WORD, 2, np.where(short >= SHORT_WORD, 1, 0))
+        few = at[(short < SHORT_WORD) & (found == 1)]
+        out[few] = [alike(a, b) for a, b in zip(words[x[few]].tolist(), words[y[few]].tolist(), strict=True)]
     return out
 
 
@@ -517,15 +525,18 @@ def _run_links(keys: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> tuple[
     place = np.arange(len(keys))
     others = place[~new]
     heads = start[run[others]]
-    met = alike_pairs(words, heads, others)
+    met = near_pairs(words, heads, others)
     found = [(heads[met], others[met])]
-    for i in others[~met].tolist():  # few: words of a run that are not alike its first word meet all others of it
-        own = np.arange(start[run[i]] + 1, start[run[i]] + size[run[i]])
-        own = own[own != i]
-        for part in np.array_split(own, max(1, -(-len(own) // PAIRS))):
-            if len(part):
-                near = alike_pairs(words, np.full(len(part), i), part)
-                found.append((np.full(int(near.sum()), i), part[near]))
+    # few: words of a run that are not alike its first word meet all others of it, pairs of many runs at once
+    left = others[~met]
+    meet = size[run[left]] - 1
+    for part in np.split(np.arange(len(left)), np.searchsorted(np.cumsum(meet), np.arange(PAIRS, meet.sum(), PAIRS))):
+        x = np.repeat(left[part], meet[part])
+        end = np.cumsum(meet[part])
+        y = np.arange(len(x)) - np.repeat(end - meet[part], meet[part]) + start[run[x]] + 1
+        x, y = x[x != y], y[x != y]
+        near = near_pairs(words, x, y)
+        found.append((x[near], y[near]))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
@@ -550,13 +561,13 @@ def links(mains: DataFrame) -> DataFrame:
 
         def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            key, kind = t["key"].to_numpy(), t["kind"].to_numpy(zero_copy_only=False).astype(str)
+            key, kind = t["key"].to_numpy(), pc.equal(t["kind"], "org").to_numpy()
             # rows of keys of their own, which are most, end here
             equal = (key[1:] == key[:-1]) & (kind[1:] == kind[:-1])
             used = np.flatnonzero(np.append(equal, False) | np.insert(equal, 0, False)) if len(key) else np.zeros(0, int)
             words = np.array(t["main"].take(pa.array(used)).to_pylist(), dtype=str) if len(used) else np.zeros(0, "<U1")
             x, y = _run_links(key[used], kind[used], words)
-            pairs = {(k, min(a, b), max(a, b)) for k, a, b in zip(kind[used][x].tolist(), words[x].tolist(), words[y].tolist(), strict=True) if a != b}
+            pairs = {(k, min(a, b), max(a, b)) for k, a, b in zip(np.where(kind[used][x], "org", "person").tolist(), words[x].tolist(), words[y].tolist(), strict=True) if a != b}
             k, a, b = zip(*sorted(pairs), strict=True) if pairs else ((), (), ())
             return pa.record_batch([pa.array(list(k), pa.string()), pa.array(list(a), pa.string()), pa.array(list(b), pa.string())], schema=schema)
 
@@ -567,16 +578,22 @@ def links(mains: DataFrame) -> DataFrame:
             keys = b["key"].to_numpy()
             cut = int(np.searchsorted(keys, keys[-1], "left"))
             rest.append(b.slice(0, cut))
-            if cut:
+            if cut and sum(x.num_rows for x in rest) >= RUN_ROWS:
                 yield linked(rest)
                 rest = []
             rest.append(b.slice(cut))
         if rest:
             yield linked(rest)
 
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([jaro_winkler(x, y) >= LEAST_SIMILARITY for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)], pa.bool_()))
+
     rows = mains.select("kind", "main").mapInArrow(keyed, "key bigint, kind string, main string")
     runs = rows.repartition("key").sortWithinPartitions("key", "kind")
-    return runs.mapInArrow(compare, "kind string, a string, b string").distinct()
+    # a pair is near in each of its blocks, and judged once: words that differ by no more errors than they may are
+    # similar enough from SHORT_WORD letters on, so no run was linked by a pair that falls here
+    return runs.mapInArrow(compare, "kind string, a string, b string").distinct().mapInArrow(judged, "kind string, a string, b string")
 
 
 def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
