@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.functions.similarity import token_set
+from cellwright.functions.similarity import token_set, word_set
 from cellwright.session import staged
 
 #: Least word-set similarity (0..1) for a row to join a cluster.
 THRESHOLD = 0.92
+#: Lengths of pieces of words that similar texts have in common.
+PIECES = (1, 2, 3, 4, 5, 6, 8)
+#: Pairs that one task takes in their order.
+ONE_PASS = 2_000_000
+#: Above what fractions lose in double precision.
+EPSILON = 1e-6
 
 
 def deduplicate(df: DataFrame, keys: list[str] | None = None, order: str = "_ord") -> DataFrame:
@@ -31,36 +42,151 @@ def fuzzy_clusters(df: DataFrame, keys: list[str], order: str = "_ord", threshol
     """``<order>, leader``: each row's cluster, named by its leader's order, as if rows were taken one by one and
     joined the first cluster whose first row is similar enough.
 
-    Only distinct keys are compared.  Sets of words with a common word are candidates by that word; since similarity
-    counts words as sets, other pairs can only pass by their letters, and those share one of the key's letter
-    trigrams that are rarest.  A key is a leader if no earlier leader matches it, which rounds of joins decide for all
-    keys at once.  Rows with an empty key are alone.  Pairs of frequent words are many: narrow ``keys`` or block first.
+    Only distinct sets of words are compared, and of these the pairs of :func:`_candidates`.  A set is a leader if no
+    earlier leader matches it.  Rows with an empty key are alone.
     """
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("None")) for k in keys]))
-    keyed = df.select(F.col(order).alias("o"), text.alias("key"))
-    distinct = staged(keyed.filter(F.trim("key") != "").groupBy("key").agg(F.min("o").alias("o")))
-    marks = F.array_union(F.array_distinct(F.split("key", r"\s+")), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("key") - 2)), lambda i: F.concat(F.lit("\u0001"), F.substring("key", i, 3))))
-    marked = distinct.select("key", "o", F.explode(marks).alias("m"))
-    counts = marked.groupBy("m").agg(F.count("*").alias("n"))
-    # a pair at the threshold differs by at most (1 - threshold) of both lengths in letters left out or put in.  The shorter
-    # key loses no more letters than it gains, so at most 2.5 trigrams a letter: of one trigram more, one is common
-    w = Window.partitionBy("key").orderBy("n", "m")
-    keep = F.ceil(F.size(F.array_distinct(F.split("key", r"\s+"))) + F.length("key") * (1 - threshold) * 5 + 1).cast("int")
-    rare = marked.join(counts, "m").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep).select("key", "o", "m")
-    pairs = rare.alias("a").join(marked.alias("b"), F.col("a.m") == F.col("b.m")).filter("a.key <> b.key")
-    both = pairs.select(F.when(F.col("a.o") < F.col("b.o"), F.struct("a.key", "a.o")).otherwise(F.struct("b.key", "b.o")).alias("x"), F.when(F.col("a.o") < F.col("b.o"), F.struct("b.key", "b.o")).otherwise(F.struct("a.key", "a.o")).alias("y")).distinct()
-    near = staged(both.filter(token_set(F.col("x.key"), F.col("y.key")) >= threshold * 100).select(F.col("x.o").alias("early"), F.col("y.o").alias("late")))
-    # undecided keys: leaders are those without undecided or leading earlier neighbours
-    undecided = staged(distinct.select("o"))
-    leaders = None
-    while not undecided.isEmpty():  # the first of them is decided in every round, and with it many more
-        blocked = near.join(undecided.select(F.col("o").alias("early")), "early").select(F.col("late").alias("o")).distinct()
-        new = undecided.join(blocked, "o", "left_anti")
-        leaders = staged(new if leaders is None else leaders.unionByName(new))
-        led = near.join(leaders.select(F.col("o").alias("early")), "early").select(F.col("late").alias("o")).distinct()
-        undecided = staged(undecided.join(leaders, "o", "left_anti").join(led, "o", "left_anti"))
-    if leaders is None:
-        leaders = undecided
-    joined = near.join(leaders.select(F.col("o").alias("early")), "early").groupBy(F.col("late").alias("o")).agg(F.min("early").alias("leader"))
-    homes = distinct.join(joined, "o", "left").select("key", F.coalesce("leader", "o").alias("leader"))
-    return keyed.join(homes, "key", "left").select(F.col("o").alias(order), F.coalesce("leader", "o").alias("leader"))
+    rows = staged(df.select(F.col(order).alias("o"), word_set(text).alias("text")))
+    distinct = staged(rows.filter("text <> ''").groupBy("text").agg(F.min("o").alias("o")).withColumn("id", F.monotonically_increasing_id()))
+    side = lambda s: distinct.select(F.col("id").alias(s), F.struct("o", "id").alias(f"at_{s}"), F.col("text").alias(f"text_{s}"))
+    pairs = _candidates(distinct, threshold).join(side("x"), "x").join(side("y"), "y").filter(token_set(F.col("text_x"), F.col("text_y")) >= threshold * 100)
+    near = staged(pairs.select(F.least("at_x", "at_y").alias("early"), F.greatest("at_x", "at_y").alias("late")))
+    homes = near.join(_led(near), F.col("early.id") == F.col("led"), "left_anti").groupBy(F.col("late.id").alias("id")).agg(F.min("early.o").alias("leader"))
+    led = distinct.join(homes, "id", "left").select("text", F.coalesce("leader", "o").alias("leader"))
+    return rows.join(led, "text", "left").select(F.col("o").alias(order), F.coalesce("leader", "o").alias("leader"))
+
+
+def _candidates(distinct: DataFrame, threshold: float) -> DataFrame:
+    """``x, y``: ids of the pairs of word sets that may reach the threshold t; no pair that does is left out.
+
+    Let n be the length of a set's words, sorted and joined.  The ratio has two ways to reach t.  Either the common words
+    make up nearly all of one set: the other words and their spaces take at most n (2 - 2t) / (2 - t) letters of it, so
+    of the rarest words that take more, one is common.  Or the words left over are alike: at most d = (1 - t) (n + m)
+    letters are left out or put in between texts of n and m letters, so of d + 1 pieces of the longer set's words one
+    stands unchanged in a word of the other.  Pieces are looked up by the other's length too, and are as long, and of
+    as rare words, as may be.  Both ways bound the numbers of each letter that only one side has, which is checked for
+    every pair that is met, on 128 bits a set.
+    """
+    count = distinct.count()
+    words = distinct.select("id", F.explode(F.split("text", " ")).alias("word"))
+    spelled = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id").agg(F.collect_list(F.struct("n", "word")).alias("words"))
+    marked = staged(spelled.mapInArrow(partial(_mark, threshold=threshold, count=count), "id long, n int, low long, high long, room int, words array<string>, common array<string>, asked array<string>, pieces array<string>, sizes array<int>"))
+    sizes: dict[int, set[int]] = {}
+    for r in marked.select(F.explode("sizes").alias("s")).distinct().collect():  # a few for each length
+        sizes.setdefault(r.s // 16, set()).add(r.s % 16)
+    held = marked.mapInArrow(partial(_hold, sizes=sizes), "id long, n int, low long, high long, marks array<string>")
+    y = held.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.explode("marks").alias("m")).withColumn("m", F.xxhash64("m"))
+    side = lambda marks, whole: marked.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"), (F.col("room") if whole else F.lit(None).cast("int")).alias("room"), F.explode(marks).alias("m")).withColumn("m", F.xxhash64("m"))
+    x = side("asked", True).unionByName(side("pieces", False))
+    bits = lambda f: sum((F.bit_count(f(F.col(f"{c}_x"), F.col(f"{c}_y"))) for c in ("low", "high")), F.lit(0))
+    within = (F.col("n_y") >= F.col("n_x") - F.col("room")) & (bits(lambda a, b: a.bitwiseAND(F.bitwise_not(b))) <= F.col("room"))
+    alike = F.when(F.col("n_x") == F.col("n_y"), F.col("x") > F.col("y")).otherwise(F.col("n_x") > F.col("n_y")) & (bits(lambda a, b: a.bitwiseXOR(b)) <= (F.col("n_x") + F.col("n_y")) * F.lit(1 - threshold) + F.lit(EPSILON))
+    met = y.join(x.hint("merge"), "m").filter(F.when(F.col("room").isNotNull(), (F.col("x") != F.col("y")) & within).otherwise(alike))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _mark(batches: Iterator[pa.RecordBatch], threshold: float, count: int) -> Iterator[pa.RecordBatch]:
+    """Each word set's length, letters, words shared with others, and what it looks for: ``asked`` words, ``pieces``."""
+    fields = {"id": pa.int64(), "n": pa.int32(), "low": pa.int64(), "high": pa.int64(), "room": pa.int32(), "words": pa.list_(pa.string()), "common": pa.list_(pa.string()), "asked": pa.list_(pa.string()), "pieces": pa.list_(pa.string()), "sizes": pa.list_(pa.int32())}
+    for batch in batches:
+        out: list[tuple] = []
+        for key, spelled in zip(batch["id"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            words = sorted((w["n"], w["word"]) for w in spelled)
+            n = sum(len(w) + 1 for _, w in words) - 1
+            room = math.floor(n * (2 - 2 * threshold) / (2 - threshold) + EPSILON)
+            asked, over = [], 0
+            for k, w in words:
+                if over > room:
+                    break
+                over += len(w) + 1
+                asked += [w] if k > 1 else []  # other words are in no other set
+            pieces, sizes = _pieces(words, n, threshold, count)
+            out.append((key, n, *_letters(words), room, [w for _, w in words], [w for k, w in words if k > 1], asked, pieces, sizes))
+        columns = list(zip(*out, strict=True)) or [[]] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
+
+
+def _letters(words: list[tuple[int, str]]) -> tuple[int, int]:
+    """128 bits: of each of 32 classes of letters, whether there are one, two, three and four of them."""
+    bits, seen = 0, [0] * 32
+    for _, w in words:
+        for c in w:
+            k = ord(c) & 31
+            if seen[k] < 4:
+                bits |= 1 << (4 * k + seen[k])
+                seen[k] += 1
+    return tuple(x - (x >> 63 << 64) for x in (bits & (1 << 64) - 1, bits >> 64))  # as signed numbers
+
+
+def _band(n: int) -> int:
+    """Lengths that are looked up together: one, or a sixteenth of the way to the double of long ones."""
+    return n if n < 64 else 64 + int(16 * math.log2(n / 64))
+
+
+def _pieces(words: list[tuple[int, str]], n: int, threshold: float, count: int) -> tuple[list[str], list[int]]:
+    """Marks of the pieces to look for in word sets that are not longer, and ``16 x band + piece length`` of each kind."""
+    pieces, sizes = [], []
+    bands: dict[int, list[int]] = {}
+    for m in range(max(1, math.ceil(n * threshold / (2 - threshold) - EPSILON)), n + 1):
+        bands.setdefault(_band(m), []).append(m)
+    for band, lengths in bands.items():
+        most = math.floor((1 - threshold) * (n + lengths[-1]) + EPSILON)
+        if len(lengths) == 1 and band < 64:
+            most -= (most - n + band) % 2  # letters left out and put in differ by the lengths
+        if most < max(1, n - lengths[-1]):  # without a change the sets are equal
+            continue
+        best: tuple[float, int, list[tuple[int, str]]] = (math.inf, 0, [])
+        for size in PIECES:
+            usual, left, cost, taken = count / 10 ** (size - 1), most + 1, 0.0, []
+            for k, w in words:
+                if here := min(left, len(w) // size):
+                    left, cost = left - here, cost + here * (k + usual)
+                    taken.append((here, w))
+            if not left and cost < best[0]:
+                best = (cost, size, taken)
+        _, size, taken = best
+        # without enough pieces every set of that length is looked at
+        pieces += dict.fromkeys(f"{band} {size} {w[i * size : i * size + size]}" for here, w in taken for i in range(here)) if size else [f"{band} 0 "]
+        sizes.append(16 * band + size)
+    return pieces, sizes
+
+
+def _hold(batches: Iterator[pa.RecordBatch], sizes: dict[int, set[int]]) -> Iterator[pa.RecordBatch]:
+    """The marks by which a word set is found: its words, and all pieces of the lengths that are looked for."""
+    for batch in batches:
+        marks = []
+        for n, words, common in zip(*(batch[c].to_pylist() for c in ("n", "words", "common")), strict=True):
+            band = _band(n)
+            own = [*common]
+            for size in sizes.get(band, ()):
+                own += {f"{band} {size} {w[i : i + size]}" for w in words for i in range(len(w) - size + 1)} if size else [f"{band} 0 "]
+            marks.append(own)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "n", "low", "high")), pa.array(marks, pa.list_(pa.string()))], names=["id", "n", "low", "high", "marks"])
+
+
+def _led(near: DataFrame) -> DataFrame:
+    """``led``: ids of those that follow a leader, given all pairs of ``early`` and ``late``.
+
+    Rounds of joins decide all whose earlier neighbours are known, until so few pairs are left that one task can take
+    them in their order.
+    """
+    led, left = [], near
+    while left.limit(ONE_PASS + 1).count() > ONE_PASS:  # the first of them is decided in every round, and with it many more
+        late = left.select(F.col("late.id").alias("id")).distinct()
+        new = staged(left.join(late, F.col("early.id") == F.col("id"), "left_anti").select(F.col("late.id").alias("led")).distinct())
+        led.append(new)
+        left = staged(left.join(new, F.col("early.id") == F.col("led"), "left_anti").join(new, F.col("late.id") == F.col("led"), "left_anti"))
+    led.append(left.repartition(1).sortWithinPartitions("early").select(F.col("early.id").alias("early"), F.col("late.id").alias("late")).mapInArrow(_follow, "led long"))
+    return reduce(DataFrame.unionByName, led)
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in the order of their first: when it comes up, all that could make it follow another have been seen."""
+    led: set[int] = set()
+    for batch in batches:
+        new = []
+        for early, late in zip(batch["early"].to_pylist(), batch["late"].to_pylist(), strict=True):
+            if early not in led and late not in led:
+                led.add(late)
+                new.append(late)
+        yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], names=["led"])

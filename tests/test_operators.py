@@ -285,3 +285,68 @@ def test_median_by_halving(spark, monkeypatch):
     for most in (1, 2, 5):
         assert profile.exact_median(df, profile.F.col("v"), most) == 4.0
     assert profile.exact_median(df.filter("v > 3.5 and v < 9"), profile.F.col("v"), 1) == 4.5
+
+
+def _leaders(names: list[str], threshold: float) -> dict[int, int]:
+    want, leaders = {}, []
+    for i, s in enumerate(names):
+        want[i] = next((k for k, x in leaders if similarity.token_set_ratio(x, s.lower()) >= threshold * 100), i) if s else i
+        leaders += [(i, s.lower())] if want[i] == i else []
+    return want
+
+
+def _clusters(spark, names: list[str], threshold: float = dedup.THRESHOLD) -> dict[int, int]:
+    return {r["_ord"]: r.leader for r in dedup.fuzzy_clusters(spark.createDataFrame(list(enumerate(names)), "_ord int, s string"), ["s"], threshold=threshold).collect()}
+
+
+def _counted(spark, monkeypatch):
+    """Pairs whose similarity is judged are counted."""
+    seen, judge = spark.sparkContext.accumulator(0), similarity.token_set_ratio
+
+    @F.pandas_udf("double")
+    def counting(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(a))
+        return pd.Series([judge(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    monkeypatch.setattr(dedup, "token_set", counting)
+    return seen
+
+
+@pytest.mark.parametrize("threshold", [0.92, 0.8, 0.5])
+def test_fuzzy_clusters_against_all_pairs(spark, monkeypatch, threshold):
+    monkeypatch.setattr(dedup, "ONE_PASS", 20)
+    pick = random.Random(round(threshold * 100))
+    stems = ["".join(pick.choice(["ka", "lo", "mi", "ter", "son", "x"]) for _ in range(pick.randint(1, 4))) for _ in range(20)] + ["ltd", "a", "-", "furniture"]
+    names = []
+    for _ in range(250):
+        s = " ".join(pick.choice(stems) for _ in range(pick.randint(0, 5)))
+        for _ in range(pick.randint(0, 3)):
+            i = pick.randint(0, len(s))
+            s = s[:i] + pick.choice(["", "a", "k", "O", " ", "\t", " "]) + s[i + pick.randint(0, 1) :]
+        names.append(s)
+    names += ["".join("z" if (7 * j + k) % 29 == 0 else "abcdef "[j * j % 7] for j in range(150)) for k in range(12)]
+    got = _clusters(spark, names, threshold)
+    assert got == _leaders(names, threshold) and 1 < len(set(got.values())) < len(names)
+
+
+def test_fuzzy_clusters_of_names_with_common_words(spark, monkeypatch):
+    # every name has a frequent word, which must not make pairs of all names, and a near name
+    seen = _counted(spark, monkeypatch)
+    pick = random.Random(5)
+    firms = ["".join(pick.choice("abdefgiklmnoprstuvz") for _ in range(11)) for _ in range(300)]
+    names = [f"{x} {pick.choice(['furniture', 'lighting'])} ltd" for x in firms]
+    names += [f"{n.split()[1]} {n[:5]}q{n[5:11]} ltd" for n in names]
+    got = _clusters(spark, names)
+    assert got == {i: i % 300 for i in range(600)} and seen.value < 3000
+
+
+def test_chain_of_near_rows_takes_few_jobs(spark):
+    base = "abcdefghijklmnopqrstuvwxyz0123456789"
+    names = ["".join(chr(0x4E00 + j) if j < 3 * i else c for j, c in enumerate(base * 6)) for i in range(60)]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = _clusters(spark, names)
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == _leaders(names, dedup.THRESHOLD) and 0 < jobs < 60
