@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def _candidates(distinct: DataFrame, threshold: float) -> DataFrame:
     """
     count = distinct.count()
     words = distinct.select("id", F.explode(F.split("text", " ")).alias("word"))
-    spelled = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id").agg(F.collect_list(F.struct("n", "word")).alias("words"))
+    spelled = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w")).select("id", F.col("w.n").alias("counts"), F.col("w.word").alias("words"))
     marked = staged(spelled.mapInArrow(partial(_mark, threshold=threshold, count=count), "id long, n int, low long, high long, room int, words array<string>, common array<string>, asked array<string>, pieces array<string>, sizes array<int>"))
     sizes: dict[int, set[int]] = {}
     for r in marked.select(F.explode("sizes").alias("s")).distinct().collect():  # a few for each length
@@ -90,9 +91,10 @@ def _mark(batches: Iterator[pa.RecordBatch], threshold: float, count: int) -> It
     fields = {"id": pa.int64(), "n": pa.int32(), "low": pa.int64(), "high": pa.int64(), "room": pa.int32(), "words": pa.list_(pa.string()), "common": pa.list_(pa.string()), "asked": pa.list_(pa.string()), "pieces": pa.list_(pa.string()), "sizes": pa.list_(pa.int32())}
     for batch in batches:
         out: list[tuple] = []
-        for key, spelled in zip(batch["id"].to_pylist(), batch["words"].to_pylist(), strict=True):
-            words = sorted((w["n"], w["word"]) for w in spelled)
-            n = sum(len(w) + 1 for _, w in words) - 1
+        spelled = batch["words"].to_pylist()
+        for key, counts, own, low, high in zip(batch["id"].to_pylist(), batch["counts"].to_pylist(), spelled, *_letters(spelled), strict=True):
+            words = list(zip(counts, own, strict=True))
+            n = sum(map(len, own)) + len(own) - 1
             room = math.floor(n * (2 - 2 * threshold) / (2 - threshold) + EPSILON)
             asked, over = [], 0
             for k, w in words:
@@ -101,21 +103,20 @@ def _mark(batches: Iterator[pa.RecordBatch], threshold: float, count: int) -> It
                 over += len(w) + 1
                 asked += [w] if k > 1 else []  # other words are in no other set
             pieces, sizes = _pieces(words, n, threshold, count)
-            out.append((key, n, *_letters(words), room, [w for _, w in words], [w for k, w in words if k > 1], asked, pieces, sizes))
+            out.append((key, n, low, high, room, own, [w for k, w in words if k > 1], asked, pieces, sizes))
         columns = list(zip(*out, strict=True)) or [[]] * len(fields)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
 
 
-def _letters(words: list[tuple[int, str]]) -> tuple[int, int]:
-    """128 bits: of each of 32 classes of letters, whether there are one, two, three and four of them."""
-    bits, seen = 0, [0] * 32
-    for _, w in words:
-        for c in w:
-            k = ord(c) & 31
-            if seen[k] < 4:
-                bits |= 1 << (4 * k + seen[k])
-                seen[k] += 1
-    return tuple(x - (x >> 63 << 64) for x in (bits & (1 << 64) - 1, bits >> 64))  # as signed numbers
+def _letters(sets: list[list[str]]) -> tuple[list[int], list[int]]:
+    """128 bits a set: of each of 32 classes of letters, whether there are one, two, three and four of them."""
+    texts = ["".join(words) for words in sets]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    seen = np.minimum(np.bincount(of * 32 + codes, minlength=32 * len(texts)), 4).astype(np.uint64).reshape(-1, 2, 16)
+    bits = ((np.uint64(1) << seen) - np.uint64(1)) << np.arange(0, 64, 4, dtype=np.uint64)
+    low, high = np.bitwise_or.reduce(bits, axis=2).view(np.int64).T.tolist() if texts else ([], [])
+    return low, high
 
 
 def _band(n: int) -> int:
@@ -125,7 +126,8 @@ def _band(n: int) -> int:
 
 def _pieces(words: list[tuple[int, str]], n: int, threshold: float, count: int) -> tuple[list[str], list[int]]:
     """Marks of the pieces to look for in word sets that are not longer, and ``16 x band + piece length`` of each kind."""
-    pieces, sizes = [], []
+    pieces, sizes, letters = [], [], sum(len(w) for _, w in words)
+    chosen: dict[int, tuple[int, list[str]]] = {}
     bands: dict[int, list[int]] = {}
     for m in range(max(1, math.ceil(n * threshold / (2 - threshold) - EPSILON)), n + 1):
         bands.setdefault(_band(m), []).append(m)
@@ -135,18 +137,24 @@ def _pieces(words: list[tuple[int, str]], n: int, threshold: float, count: int)
             most -= (most - n + band) % 2  # letters left out and put in differ by the lengths
         if most < max(1, n - lengths[-1]):  # without a change the sets are equal
             continue
-        best: tuple[float, int, list[tuple[int, str]]] = (math.inf, 0, [])
-        for size in PIECES:
-            usual, left, cost, taken = count / 10 ** (size - 1), most + 1, 0.0, []
-            for k, w in words:
-                if here := min(left, len(w) // size):
-                    left, cost = left - here, cost + here * (k + usual)
-                    taken.append((here, w))
-            if not left and cost < best[0]:
-                best = (cost, size, taken)
-        _, size, taken = best
+        if most not in chosen:
+            best: tuple[float, int, list[tuple[int, str]]] = (math.inf, 0, [])
+            for size in PIECES:
+                if letters // size <= most:
+                    break
+                usual, left, cost, taken = count / 10 ** (size - 1), most + 1, 0.0, []
+                for k, w in words:
+                    if here := min(left, len(w) // size):
+                        left, cost = left - here, cost + here * (k + usual)
+                        taken.append((here, w))
+                        if not left:
+                            break
+                if not left and cost < best[0]:
+                    best = (cost, size, taken)
+            chosen[most] = best[1], [w[i * best[1] : i * best[1] + best[1]] for here, w in best[2] for i in range(here)]
+        size, parts = chosen[most]
         # without enough pieces every set of that length is looked at
-        pieces += dict.fromkeys(f"{band} {size} {w[i * size : i * size + size]}" for here, w in taken for i in range(here)) if size else [f"{band} 0 "]
+        pieces += [f"{band} {size} {p}" for p in {*parts}] if size else [f"{band} 0 "]
         sizes.append(16 * band + size)
     return pieces, sizes
 

@@ -350,3 +350,12 @@ def test_chain_of_near_rows_takes_few_jobs(spark):
         jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == _leaders(names, dedup.THRESHOLD) and 0 < jobs < 60
+
+
+def test_fuzzy_clusters_of_random_labels(spark, monkeypatch):
+    # labels without common words share many letter trigrams by chance
+    seen = _counted(spark, monkeypatch)
+    pick = random.Random(9)
+    labels = [" ".join("".join(pick.choice("0123456789abcdef") for _ in range(12)) for _ in range(2)) for _ in range(1500)]
+    again = [" ".join(reversed(x.split())) if i % 3 == 0 else f"{x} spare" if i % 3 == 1 else x[:5] + x[6:] for i, x in enumerate(labels)]
+    assert _clusters(spark, labels + again) == {i: i % 1500 for i in range(3000)} and seen.value < 3000
